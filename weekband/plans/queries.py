@@ -422,19 +422,19 @@ def future_frame(spark: SparkSession, d: str) -> DataFrame:
 @query
 def shift_share_weekly(spark: SparkSession, d: str) -> DataFrame:
     calls = star.timed_calls(spark, d).withColumn("shift", shift_band(F.col("incident_date_time")))
-    return rounded(shares.weekly_share(calls, "shift"), 6, "share")
+    return rounded(shares.weekly_share(calls, "shift"), 9, "share")
 
 
 @query
 def attended_share_weekly(spark: SparkSession, d: str) -> DataFrame:
     calls = star.calls(spark, d, ["attended_flag"]).withColumn("attended", yes_no(F.col("attended_flag")))
-    return rounded(shares.weekly_share(calls, "attended"), 6, "share")
+    return rounded(shares.weekly_share(calls, "attended"), 9, "share")
 
 
 @query
 def origin_share_weekly(spark: SparkSession, d: str) -> DataFrame:
     calls = star.calls(spark, d, [ORIGIN]).withColumn("origin_new", origin_new())
-    return rounded(shares.weekly_share(calls, "origin_new", keep_null=False), 6, "share")
+    return rounded(shares.weekly_share(calls, "origin_new", keep_null=False), 9, "share")
 
 
 @query
@@ -443,12 +443,12 @@ def origin_share_weekly_by_type(spark: SparkSession, d: str) -> DataFrame:
         "incident_type_new", merge_categories(F.col(TYPE), TYPE_GROUPS)
     )
     share = shares.weekly_share(calls, ORIGIN, keep_null=False, extra=["incident_type_new"])
-    return rounded(share, 6, "share")
+    return rounded(share, 9, "share")
 
 
 @query
 def origin_year_share(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(shares.yearly_share(star.calls(spark, d, [ORIGIN]), ORIGIN), 6, "share")
+    return rounded(shares.yearly_share(star.calls(spark, d, [ORIGIN]), ORIGIN), 9, "share")
 
 
 @query
@@ -513,12 +513,15 @@ def profile_bounds(spark: SparkSession, d: str) -> DataFrame:
     return profiles.wide_with_bounds(table, "dow", WEEKDAYS, BEFORE, AFTER)
 
 
-@query
-def avg_weekly_calls_by_area_period(spark: SparkSession, d: str) -> DataFrame:
+def area_period_averages(spark: SparkSession, d: str) -> DataFrame:
     ts = F.col("incident_date_time")
     calls = series.with_week(star.calls(spark, d, [AREA])).withColumn("period", period(ts, STUDY.cutoff))
-    averages = profiles.average_by_area_period(calls, star.areas(spark, d), [BEFORE, AFTER])
-    return rounded(averages, 6, "avg_active_week")
+    return profiles.average_by_area_period(calls, star.areas(spark, d), [BEFORE, AFTER])
+
+
+@query
+def avg_weekly_calls_by_area_period(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(area_period_averages(spark, d), 6, "avg_active_week")
 
 
 # Areas, concentration, distributions
@@ -547,7 +550,7 @@ def dep_level_weekly_share(spark: SparkSession, d: str) -> DataFrame:
     counts = series.weekly_counts(star.calls(spark, d, [AREA, TYPE]).where(F.col(TYPE) == "Brand#10"), [AREA])
     located = area_ops.with_area(counts, levels.select(AREA, "dep_level"))
     weekly = located.groupBy("dep_level", "week").agg(F.sum("n").alias("n"))
-    return rounded(shares.share_of_total(weekly, "n", ["week"], "per", 100.0), 6, "per")
+    return rounded(shares.share_of_total(weekly, "n", ["week"], "per", 100.0), 9, "per")
 
 
 @query
@@ -595,7 +598,7 @@ def logged_area_totals(spark: SparkSession, d: str) -> DataFrame:
 @query
 def boxplot_by_decile(spark: SparkSession, d: str) -> DataFrame:
     box = distribution.boxplot(logged_area_totals(spark, d), ["imd_decile"], "log_n", 0.01)
-    return rounded(box, 6, "q1", "median", "q3", "whisker_low", "whisker_high")
+    return rounded(box, 9, "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
 @query
@@ -608,9 +611,9 @@ def boxplot_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def boxplot_by_decile_period(spark: SparkSession, d: str) -> DataFrame:
-    averages = avg_weekly_calls_by_area_period(spark, d).where(F.col("imd_decile").isNotNull())
+    averages = area_period_averages(spark, d).where(F.col("imd_decile").isNotNull())
     box = distribution.boxplot(materialize(averages), ["imd_decile", "period"], "avg_active_week", 0.25)
-    return rounded(box, 6, "q1", "median", "q3", "whisker_low", "whisker_high")
+    return rounded(box, 9, "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
 @query
@@ -636,7 +639,7 @@ def decile_share_weekly(spark: SparkSession, d: str) -> DataFrame:
     counts = series.weekly_counts(star.calls(spark, d, [AREA]), [AREA])
     areas = materialize(star.areas(spark, d))
     share = shares.area_adjusted_share(counts, areas, span=ends(spark, d))
-    return rounded(share, 6, "calls_per_area", "share")
+    return rounded(rounded(share, 9, "share"), 6, "calls_per_area")
 
 
 @query
@@ -649,7 +652,7 @@ def decile_share_weekly_by_type(spark: SparkSession, d: str) -> DataFrame:
     share = shares.area_adjusted_share(
         counts, areas, extra=["incident_type_new"], span=ends(spark, d), keep_null=False
     )
-    return rounded(share, 6, "calls_per_area", "share")
+    return rounded(rounded(share, 9, "share"), 6, "calls_per_area")
 
 
 # Space
