@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -105,7 +106,7 @@ def moran_local(lagged: DataFrame, value: str, conditional: bool = True) -> Data
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def upper_tail(z: pd.Series) -> pd.Series:
     """Probability that a standard normal exceeds z."""
     return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2.0)), na_action="ignore").astype(float)

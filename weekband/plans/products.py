@@ -1,8 +1,8 @@
 """The twenty forecast products as one table of weekly series.
 
-Calls are reduced once per kind of measure, at the finest grain any product needs. Each reduced
-row then contributes to every product it belongs to, so twenty products cost three passes over
-the calls instead of twenty.
+Calls are reduced three times, to volume, to durations and to areas, at the finest grain any
+product needs. Each reduced row then contributes to every product it belongs to, so twenty
+products cost three passes over the calls instead of twenty.
 """
 
 from __future__ import annotations
@@ -15,10 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekband.functions.durations import micros_between, repair_half_day
-from weekband.functions.recode import TYPE_GROUPS, merge_categories, merge_origins
-from weekband.operators.areas import in_known_areas
+from weekband.functions.recode import (
+    ORIGIN_GROUPS,
+    TYPE_GROUPS,
+    UNKNOWN_ORIGINS,
+    merge_categories,
+    merge_origins,
+)
 from weekband.operators.common import any_of, join_on_keys
-from weekband.operators.concentration import gini
+from weekband.operators.concentration import gini, ties
 from weekband.operators.forecast import forecast_band
 from weekband.operators.quantiles import median
 from weekband.operators.series import fill_weeks, percent, with_week
@@ -108,7 +113,8 @@ class Recode:
 
     types: Mapping[str, Sequence[str]] = field(default_factory=lambda: TYPE_GROUPS)
     rare_below: int = 1000
-    origin: Column = field(default_factory=lambda: merge_origins(F.col(ORIGIN)))
+    origins: Mapping[str, Sequence[str]] = field(default_factory=lambda: ORIGIN_GROUPS)
+    unknown_origins: Sequence[str] = UNKNOWN_ORIGINS
 
 
 def _contributions(reduced: DataFrame, products: Sequence[Product], sums: Sequence[str]) -> DataFrame:
@@ -131,46 +137,40 @@ def _recoded(reduced: DataFrame, recode: Recode, rare: DataFrame) -> DataFrame:
     ).drop("incident_type", "is_rare")
 
 
-def volume_series(
-    calls: DataFrame,
-    rare: DataFrame,
-    areas: DataFrame,
-    products: Sequence[Product],
-    recode: Recode,
-) -> DataFrame:
-    """Counts, shares and attendance rates.
-
-    `areas` is (area_id, dep_level). Calls are counted per area before the level is attached, so
-    the calls themselves are shuffled only as partial counts.
-    """
-    counted = (
+def volume_cube(calls: DataFrame) -> DataFrame:
+    """Calls and attended calls per week, raw type, grade and raw origin: small at any volume."""
+    return (
         with_week(calls)
-        .groupBy("week", "incident_type", GRADE, "call_origin", "area_id")
+        .groupBy("week", "incident_type", GRADE, ORIGIN)
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.coalesce(F.sum("attended_flag"), F.lit(0)).cast("bigint").alias("attended"),
         )
     )
-    by_level = (
-        counted.join(areas.select("area_id", LEVEL), "area_id", "left")
-        .groupBy("week", "incident_type", GRADE, "call_origin", LEVEL)
-        .agg(F.sum("n").alias("n"), F.sum("attended").alias("attended"))
+
+
+def rare_types(cube: DataFrame, recode: Recode) -> DataFrame:
+    """(incident_type, is_rare) for every raw type."""
+    return cube.groupBy("incident_type").agg((F.sum("n") < recode.rare_below).alias("is_rare"))
+
+
+def volume_series(
+    cube: DataFrame, rare: DataFrame, products: Sequence[Product], recode: Recode
+) -> DataFrame:
+    """Counts and attendance rates."""
+    merged = _recoded(cube, recode, rare).withColumn(
+        ORIGIN, merge_origins(F.col(ORIGIN), recode.origins, recode.unknown_origins)
     )
-    merged = _recoded(by_level, recode, rare).withColumn(ORIGIN, recode.origin)
-    wanted = _pick(products, "count", "share", "attended")
+    wanted = _pick(products, "count", "attended")
     sums = (
         _contributions(merged, wanted, ["n", "attended"])
         .groupBy(*SERIES_KEYS, "week")
         .agg(F.sum("n").alias("n"), F.sum("attended").alias("attended"))
     )
-    shared = share_of_total(sums, "n", ["metric", "week"], "share", 100.0)
-    measure = _measure_of(wanted)
-    value = (
-        F.when(measure == "count", F.col("n").cast("double"))
-        .when(measure == "share", F.col("share"))
-        .otherwise(percent(F.col("attended"), F.col("n")))
+    value = F.when(_measure_of(wanted) == "count", F.col("n").cast("double")).otherwise(
+        percent(F.col("attended"), F.col("n"))
     )
-    return shared.select(*SERIES_KEYS, "week", value.alias("value"))
+    return sums.select(*SERIES_KEYS, "week", value.alias("value"))
 
 
 def _measure_of(products: Sequence[Product]) -> Column:
@@ -223,38 +223,63 @@ def duration_series(
     )
 
 
-def gini_series(
-    calls: DataFrame,
-    rare: DataFrame,
-    areas: DataFrame,
-    span: DataFrame,
-    products: Sequence[Product],
-    recode: Recode,
+def area_ties(
+    calls: DataFrame, rare: DataFrame, areas: DataFrame, products: Sequence[Product], recode: Recode
 ) -> DataFrame:
-    """Gini over all areas for every week of the span, NULL in a week without calls."""
+    """(metric, week, level, known, x, m): how many areas have `x` calls in a week.
+
+    The one table that concentration and deprivation shares are computed from. Its size does not
+    depend on the number of areas. `known` tells listed areas from all others.
+    """
     counted = (
         with_week(calls)
         .groupBy("week", "incident_type", "area_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    merged = _recoded(in_known_areas(counted, areas), recode, rare)
-    # These products have no grade filter and no key, so type and area are enough.
-    wanted = _pick(products, "gini")
+    # These products have no grade filter, so type and area are enough.
+    wanted = _pick(products, "gini", "share")
+    hits = F.array(*(F.when(p.covers(), F.lit(p.metric)) for p in wanted))
     rows = (
-        _contributions(merged, wanted, ["area_id", "n"])
-        .groupBy(*SERIES_KEYS, "week", "area_id")
+        _recoded(counted, recode, rare)
+        .withColumn("metric", F.explode(F.array_compact(hits)))
+        .groupBy("metric", "week", "area_id")
         .agg(F.sum("n").alias("n"))
     )
+    listed = areas.select("area_id", LEVEL, F.lit(True).alias("known"))
+    return ties(rows.join(listed, "area_id", "left"), ["metric", "week", LEVEL, "known"])
+
+
+def gini_series(
+    tied: DataFrame, areas: DataFrame, span: DataFrame, products: Sequence[Product]
+) -> DataFrame:
+    """Gini over all areas for every week of the span, NULL in a week without calls."""
+    metrics = [p.metric for p in _pick(products, "gini")]
+    merged = (
+        tied.where(F.col("known") & F.col("metric").isin(metrics))
+        .groupBy("metric", "week", "x")
+        .agg(F.sum("m").alias("m"))
+    )
     total = areas.agg(F.count(F.lit(1))).scalar()
-    weekly = gini(rows, [*SERIES_KEYS, "week"], total).withColumnRenamed("gini", "value")
+    weekly = gini(merged, ["metric", "week"], total)
     ends = (span.select("lo").scalar(), span.select("hi").scalar())
-    return fill_weeks(weekly, SERIES_KEYS, {"value": None}, span=ends)
+    return fill_weeks(weekly, ["metric"], {"gini": None}, span=ends).select(
+        "metric",
+        F.lit(None).cast("string").alias("key_name"),
+        F.lit(None).cast("string").alias("key_value"),
+        "week",
+        F.col("gini").alias("value"),
+    )
 
 
-def rare_types(calls: DataFrame, recode: Recode) -> DataFrame:
-    """(incident_type, is_rare) for every raw type."""
-    return calls.groupBy("incident_type").agg(
-        (F.count(F.lit(1)) < recode.rare_below).alias("is_rare")
+def share_series(tied: DataFrame, products: Sequence[Product]) -> DataFrame:
+    """Percent of the week's calls per level; calls of unlevelled areas are a level of their own."""
+    sums = (
+        tied.where(F.col("metric").isin([p.metric for p in _pick(products, "share")]))
+        .groupBy("metric", LEVEL, "week")
+        .agg(F.sum(F.col("x") * F.col("m")).alias("n"))
+    )
+    return share_of_total(sums, "n", ["metric", "week"], "value", 100.0).select(
+        "metric", F.lit(LEVEL).alias("key_name"), F.col(LEVEL).alias("key_value"), "week", "value"
     )
 
 
@@ -270,11 +295,14 @@ def product_series(
     `areas` is (area_id, dep_level); `span` is (lo, hi), the first and last week of the data,
     both of which may be incomplete and are dropped.
     """
-    rare = materialize(rare_types(calls, recode))
+    cube = materialize(volume_cube(calls))
+    rare = rare_types(cube, recode)
+    tied = materialize(area_ties(calls, rare, areas, products, recode))
     series = (
-        volume_series(calls, rare, areas, products, recode)
+        volume_series(cube, rare, products, recode)
         .unionByName(duration_series(calls, rare, products, recode))
-        .unionByName(gini_series(calls, rare, areas, span, products, recode))
+        .unionByName(gini_series(tied, areas, span, products))
+        .unionByName(share_series(tied, products))
     )
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     inner = series.where((F.col("week") > lo) & (F.col("week") < hi))

@@ -32,7 +32,7 @@ from weekband.operators import (
     shares,
     smoothing,
 )
-from weekband.operators.concentration import gini
+from weekband.operators.concentration import gini, ties
 from weekband.plans import panels, products
 from weekband.session import materialize
 from weekband.sources import star_tables as star
@@ -575,7 +575,7 @@ def calls_by_area_type(spark: SparkSession, d: str) -> DataFrame:
 def gini_weekly(spark: SparkSession, d: str) -> DataFrame:
     counts = series.weekly_counts(star.calls(spark, d, [AREA]), [AREA])
     total = star.table(spark, d, "supplier").agg(F.count(F.lit(1))).scalar()
-    weekly = gini(counts, ["week"], total)
+    weekly = gini(ties(counts, ["week"]), ["week"], total)
     return rounded(series.fill_weeks(weekly, [], {"gini": None}, span=ends(spark, d)), 6, "gini")
 
 
@@ -586,7 +586,8 @@ def gini_weekly_by_type(spark: SparkSession, d: str) -> DataFrame:
     )
     counts = series.weekly_counts(calls, ["incident_type_new", AREA])
     total = star.table(spark, d, "supplier").agg(F.count(F.lit(1))).scalar()
-    weekly = gini(counts, ["incident_type_new", "week"], total)
+    keys = ["incident_type_new", "week"]
+    weekly = gini(ties(counts, keys), keys, total)
     filled = series.fill_weeks(weekly, ["incident_type_new"], {"gini": None}, span=ends(spark, d))
     return rounded(filled, 6, "gini")
 
@@ -802,7 +803,7 @@ def product_inputs(spark: SparkSession, d: str) -> dict:
         "span": star.call_weeks(spark, d),
         "study": STUDY,
         "products": products.all_products(NAMES),
-        "recode": products.Recode(TYPE_GROUPS, RARE_TYPES_BELOW, origin_new()),
+        "recode": products.Recode(TYPE_GROUPS, RARE_TYPES_BELOW, ORIGIN_GROUPS, UNKNOWN_ORIGINS),
     }
 
 

@@ -18,19 +18,16 @@ from weekband.schema import Study
 STUDY = Study().shifted(-20)
 GRID_WIDTH = 10
 
-_FROM_PART = {"incident_type": F.col("p_brand")}
-_FROM_CUSTOMER = {
-    "call_origin": F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment")),
-}
+_FROM_PART = {"incident_type": "p_brand"}
+_FROM_CUSTOMER = {"call_origin": "CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_mktsegment END"}
 _FROM_LINE = {
-    "incident_date_time": F.col("o_orderdate"),
-    "earliest_deployed_date_time": F.col("o_orderdate"),
-    "initial_grade_of_response": F.concat(F.lit("Grade "), F.substring("o_orderpriority", 1, 1)),
-    "attended_flag": F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0),
-    "earliest_arrived_date_time": F.col("l_shipdate"),
-    "released_date_time": F.col("l_shipdate")
-    + F.make_dt_interval(mins=F.col("l_quantity").cast("int") - 5),
-    "area_id": F.col("l_suppkey"),
+    "incident_date_time": "o_orderdate",
+    "earliest_deployed_date_time": "o_orderdate",
+    "initial_grade_of_response": "concat('Grade ', substr(o_orderpriority, 1, 1))",
+    "attended_flag": "CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END",
+    "earliest_arrived_date_time": "l_shipdate",
+    "released_date_time": "l_shipdate + make_dt_interval(0, 0, CAST(l_quantity AS INT) - 5, 0)",
+    "area_id": "l_suppkey",
 }
 _COLUMNS = {**_FROM_LINE, **_FROM_PART, **_FROM_CUSTOMER}
 
@@ -49,7 +46,7 @@ def calls(spark: SparkSession, folder: str, columns: Iterable[str]) -> DataFrame
         rows = rows.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     if set(wanted) & set(_FROM_CUSTOMER):
         rows = rows.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.select(*(_COLUMNS[c].alias(c) for c in wanted))
+    return rows.select(*(F.expr(_COLUMNS[c]).alias(c) for c in wanted))
 
 
 def call_weeks(spark: SparkSession, folder: str) -> DataFrame:
