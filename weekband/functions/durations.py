@@ -8,15 +8,11 @@ from pyspark.sql import functions as F
 HALF_DAY = 720
 
 
-def micros_between(start: Column, end: Column) -> Column:
-    """Whole microseconds from `start` to `end`, the same in every session time zone."""
-    seconds = (end - start).cast("interval second").cast("decimal(24,6)")
-    return (seconds * 1_000_000).cast("bigint")
-
-
 def minutes_between(start: Column, end: Column) -> Column:
-    """Fractional minutes from `start` to `end`; NULL if either is NULL."""
-    return micros_between(start, end) / F.lit(6e7)
+    """Fractional minutes from `start` to `end`, the same in every session time zone; NULL if
+    either is NULL."""
+    seconds = (end - start).cast("interval second").cast("decimal(18,6)")
+    return seconds.cast("double") / F.lit(60.0)
 
 
 def repair_half_day(minutes: Column) -> Column:

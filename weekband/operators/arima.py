@@ -37,22 +37,24 @@ def independent_columns(x: np.ndarray) -> list[int]:
 
 
 def pi_weights(ar: np.ndarray, ma: np.ndarray, length: int) -> np.ndarray:
-    """Weights that turn a series into its innovations."""
-    lead = np.concatenate([[1.0], -ar])
-    out = np.zeros(length)
+    """Weights that turn a series into its innovations, up to where they vanish."""
+    lead = [1.0, *(-float(c) for c in ar)]
+    back = [float(c) for c in ma]
+    out: list[float] = []
     for k in range(length):
         value = lead[k] if k < len(lead) else 0.0
-        for j in range(1, min(k, len(ma)) + 1):
-            value -= ma[j - 1] * out[k - j]
-        out[k] = value
-        if k > len(lead) + 2 and np.abs(out[max(0, k - 4) : k + 1]).max() < 1e-12:
+        for j, c in enumerate(back[:k], 1):
+            value -= c * out[k - j]
+        out.append(value)
+        if k >= len(lead) and all(abs(v) < 1e-12 for v in out[-max(1, len(back)) :]):
             break
-    return out
+    return np.array(out)
 
 
 def psi_weights(ar: np.ndarray, ma: np.ndarray, length: int) -> np.ndarray:
     """Weights of past innovations in the series."""
-    return pi_weights(-ma, -ar, length)
+    weights = pi_weights(-ma, -ar, length)
+    return np.concatenate([weights, np.zeros(length - len(weights))])
 
 
 def stable(coefficients: np.ndarray) -> bool:

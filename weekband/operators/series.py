@@ -61,7 +61,10 @@ def weekly_median(
 
 
 def trim_edges(
-    series: DataFrame, keys: Sequence[str] = (), mode: str = "edge_weeks"
+    series: DataFrame,
+    keys: Sequence[str] = (),
+    mode: str = "edge_weeks",
+    span: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Drop incomplete weeks at both ends.
 
@@ -69,13 +72,14 @@ def trim_edges(
     the first and last row of the key-sorted table, `group_rows` the first and last key within each
     week. The last two keep a table or group of fewer than three rows, as row slicing does.
 
-    The series is read more than once here: pass one that is materialised or cheap.
+    `span` gives the first and last week of the data. Without it, and in `table_rows`, the series
+    is read twice: pass one that is materialised or cheap.
     """
     if mode == "edge_weeks":
-        ends = series.agg(F.min("week").alias("lo"), F.max("week").alias("hi"))
-        return series.where(
-            (F.col("week") > ends.select("lo").scalar()) & (F.col("week") < ends.select("hi").scalar())
-        )
+        if span is None:
+            ends = series.agg(F.min("week").alias("lo"), F.max("week").alias("hi"))
+            span = ends.select("lo").scalar(), ends.select("hi").scalar()
+        return series.where((F.col("week") > span[0]) & (F.col("week") < span[1]))
     if mode == "table_rows":
         if not keys:
             spot = F.struct("week")

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekband.functions.durations import micros_between, repair_half_day
+from weekband.functions.durations import minutes_between, repair_half_day
 from weekband.functions.recode import (
     ORIGIN_GROUPS,
     TYPE_GROUPS,
@@ -192,11 +192,9 @@ def duration_series(
     """
     attended = with_week(calls.where(F.col("attended_flag") == 1))
     response = repair_half_day(
-        micros_between(F.col("earliest_deployed_date_time"), F.col("earliest_arrived_date_time")) / F.lit(6e7)
-    )
-    scene = (
-        micros_between(F.col("earliest_arrived_date_time"), F.col("released_date_time")) / F.lit(6e7)
+        minutes_between(F.col("earliest_deployed_date_time"), F.col("earliest_arrived_date_time"))
     )
+    scene = minutes_between(F.col("earliest_arrived_date_time"), F.col("released_date_time"))
     if not negative_scene:
         scene = F.when(scene >= 0, scene)
     kinds = F.array(

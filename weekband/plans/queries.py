@@ -721,16 +721,18 @@ def area_z_scores(spark: SparkSession, d: str) -> DataFrame:
 # Forecasts
 
 
+def model_series(weekly: DataFrame, key: str, spark: SparkSession, d: str) -> DataFrame:
+    """Trimmed and filled weekly counts, made durable for fit and comparison."""
+    trimmed = series.trim_edges(weekly, [key], span=ends(spark, d))
+    return materialize(series.fill_weeks(trimmed, [key], {"n": 0}))
+
+
 def grade_series(spark: SparkSession, d: str) -> DataFrame:
-    """Trimmed and filled weekly counts by grade, made durable for fit and comparison."""
-    weekly = materialize(series.weekly_counts(star.calls(spark, d, [GRADE]), [GRADE]))
-    return series.fill_weeks(series.trim_edges(weekly, [GRADE]), [GRADE], {"n": 0})
+    return model_series(series.weekly_counts(star.calls(spark, d, [GRADE]), [GRADE]), GRADE, spark, d)
 
 
 def type_series(spark: SparkSession, d: str) -> DataFrame:
-    weekly = materialize(weekly_types(spark, d))
-    keys = ["incident_type_new"]
-    return series.fill_weeks(series.trim_edges(weekly, keys), keys, {"n": 0})
+    return model_series(weekly_types(spark, d), "incident_type_new", spark, d)
 
 
 _BAND = ("actual", "mean", "lower", "upper")
