@@ -33,7 +33,9 @@ def year_of(ts: Column) -> Column:
 
 def weekday_label(ts: Column) -> Column:
     """Three-letter weekday, Sunday first in `WEEKDAYS`."""
-    return F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.dayofweek(ts.cast("date")))
+    day = ts.cast("date")
+    labels = F.array(*[F.lit(d) for d in WEEKDAYS])
+    return F.when(day.isNotNull(), F.element_at(labels, F.dayofweek(day)))
 
 
 def shift_band(ts: Column) -> Column:
