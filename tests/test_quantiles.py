@@ -43,8 +43,12 @@ def test_weights_count_as_repeats(spark):
 
 
 def test_global_position_and_tile_match_windows(spark):
-    df = spark.range(1, 95).select("id", (F.hash("id") % 1000 / 7.0).alias("v"))
-    placed = q.global_position(df, ["v", "id"], F.floor("v"), "position")
+    # A third of the rows share one value.
+    value = F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.hash("id") % 1000 / 7.0)
+    df = spark.range(1, 95).select("id", value.alias("v"))
+    buckets = [F.floor("v"), F.col("v"), F.floor(F.col("id") / 8)]
+    placed = q.global_position(df, ["v", "id"], buckets, "position")
+    assert rows(q.global_position(df, ["v", "id"], buckets[:1], "position")) == rows(placed)
     everything = Window.orderBy("v", "id")
     both = placed.select(
         "position",

@@ -9,25 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekband.operators.common import join_on_keys
-from weekband.operators.quantiles import median, quantiles
+from weekband.operators.quantiles import quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
 def summary(df: DataFrame, keys: Sequence[str], value: str, width: float = 60.0) -> DataFrame:
-    """n, mean, min, max and exact median of the non-null values.
-
-    Read twice: once for the moments, once for the median.
-    """
-    moments = df.groupBy(*keys).agg(
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
-    return join_on_keys(moments, median(df, keys, value, width).drop("n"), keys, "inner") if keys else (
-        moments.withColumn("median", median(df, keys, value, width).select("median").scalar())
-    )
+    """n, mean, min, max and exact median of the non-null values, in one pass."""
+    marks = quantiles(df, keys, value, {"min": 0.0, "median": 0.5, "max": 1.0}, width)
+    mean = F.col("total") / F.nullif(F.col("n"), F.lit(0))
+    return marks.select(*keys, "n", mean.alias("mean"), "min", "max", "median")
 
 
 def log10_positive(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -36,8 +27,11 @@ def log10_positive(df: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def boxplot(df: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
-    """Quartiles, whiskers within 1.5 interquartile ranges, and how many values lie outside."""
-    box = quantiles(df, keys, value, QUARTILES, width)
+    """Quartiles, whiskers within 1.5 interquartile ranges, and how many values lie outside.
+
+    `df` is read twice: pass a materialised table.
+    """
+    box = quantiles(df, keys, value, QUARTILES, width).drop("total")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fenced = join_on_keys(df.select(*keys, value), box, keys, "inner")
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
@@ -74,7 +68,7 @@ def density(
         F.min(y).alias("_lo"),
         F.max(y).alias("_hi"),
     )
-    box = quantiles(counted, keys, value, {"_q1": 0.25, "_q3": 0.75}, 0.01, weight).drop("n")
+    box = quantiles(counted, keys, value, {"_q1": 0.25, "_q3": 0.75}, 0.01, weight).drop("n", "total")
     sd = F.sqrt((F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n")) / (F.col("_n") - 1))
     spread = F.least(sd, (F.col("_q3") - F.col("_q1")) / 1.34)
     spread = F.when(spread > 0, spread).when(sd > 0, sd).otherwise(F.lit(1.0))

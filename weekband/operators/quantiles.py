@@ -23,7 +23,7 @@ def values_at(
     width: float,
     weight: str | None = None,
 ) -> DataFrame:
-    """One row per group with `n` (non-null values) and the value at each 0-based position.
+    """One row per group: `n` non-null values, their `total`, and the value at each 0-based position.
 
     `positions` maps an output name to an expression over `n` and the keys. `width` is the bucket width:
     any positive number gives the same result, it only balances the two steps. A group whose
@@ -36,12 +36,19 @@ def values_at(
         .withColumn("_m", F.when(F.col("_v").isNotNull(), F.col("_rows")).otherwise(0))
         .withColumn("_b", F.floor(F.col("_v") / F.lit(float(width))))
     )
+    mass = F.sum(F.col("_m") * F.col("_v").cast("double"))
     upto = F.sum("_m").over(by(keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
     buckets = (
         counted.groupBy(*keys, "_b")
-        .agg(F.sum("_m").alias("_m"))
-        .select(*keys, "_b", (upto - F.col("_m")).alias("_before"), upto.alias("_upto"),
-                F.sum("_m").over(by(keys)).alias("n"))
+        .agg(F.sum("_m").alias("_m"), mass.alias("_mass"))
+        .select(
+            *keys,
+            "_b",
+            (upto - F.col("_m")).alias("_before"),
+            upto.alias("_upto"),
+            F.sum("_m").over(by(keys)).alias("n"),
+            F.sum("_mass").over(by(keys)).alias("total"),
+        )
         .withColumns({f"_p_{name}": p.cast("bigint") for name, p in positions.items()})
     )
     wanted = any_of(
@@ -59,7 +66,9 @@ def values_at(
         here = (F.col("_start") <= F.col(f"_p_{position}")) & (F.col(f"_p_{position}") < F.col("_end"))
         return F.max(F.when(here, F.col("_v"))).alias(position)
 
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *(at(p) for p in positions))
+    return ranked.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("total").alias("total"), *(at(p) for p in positions)
+    )
 
 
 def quantiles(
@@ -83,31 +92,46 @@ def quantiles(
         h = spot[name]
         return (lo + (hi - lo) * (h - F.floor(h))).alias(name)
 
-    return found.select(*keys, "n", *(interpolate(p) for p in probs))
+    return found.select(*keys, "n", "total", *(interpolate(p) for p in probs))
 
 
 def median(
     df: DataFrame, keys: Sequence[str], value: str, width: float, weight: str | None = None
 ) -> DataFrame:
     """Exact median; NULLs dropped, the mean of the two middle values for an even count."""
-    return quantiles(df, keys, value, {"median": 0.5}, width, weight)
+    return quantiles(df, keys, value, {"median": 0.5}, width, weight).drop("total")
 
 
-def global_position(df: DataFrame, order: Sequence[str], bucket: Column, name: str) -> DataFrame:
+def global_position(
+    df: DataFrame, order: Sequence[str], buckets: Sequence[Column], name: str
+) -> DataFrame:
     """1-based position of each row in the order of `order` over the whole table.
 
-    `bucket` must not decrease along the order; rows are numbered within buckets, and bucket
-    sizes are summed, so only the list of buckets is ever ordered in one task.
+    `buckets` run from coarse to fine, and no bucket may split a run of the order. Rows are
+    numbered within the finest buckets, whose sizes are summed up level by level, each level
+    within its parent, so no task orders more than one bucket's rows or children.
     """
-    rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.sum("_size").over(by([]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
-    offsets = sizes.select("_bucket", (before - F.col("_size")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    levels = [f"_bucket_{i}" for i in range(len(buckets))]
+    rows = df.withColumns(dict(zip(levels, buckets)))
+    sizes = rows.groupBy(*levels).agg(F.count(F.lit(1)).alias("_size"))
+    offsets: DataFrame | None = None
+    for depth, level in enumerate(levels):
+        parents, path = levels[:depth], levels[: depth + 1]
+        summed = sizes.groupBy(*path).agg(F.sum("_size").alias("_size"))
+        upto = F.sum("_size").over(
+            by(parents).orderBy(level).rowsBetween(Window.unboundedPreceding, 0)
+        )
+        own = summed.select(*path, (upto - F.col("_size")).alias("_own"))
+        if offsets is not None:
+            own = join_on_keys(own, offsets, parents, "inner").withColumn(
+                "_own", F.col("_own") + F.col("_before")
+            )
+        offsets = own.select(*path, F.col("_own").alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*levels).orderBy(*order))
     return (
-        join_on_keys(rows, offsets, ["_bucket"], "inner")
+        join_on_keys(rows, offsets, levels, "inner")
         .withColumn(name, F.col("_before") + inside)
-        .drop("_bucket", "_before")
+        .drop(*levels, "_before")
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weekband.functions.recode import RARE_LABEL, TYPE_GROUPS, merge_categories
 from weekband.operators.common import by, join_on_keys
+from weekband.session import broadcast_if_small
 
 
 def rare_categories(df: DataFrame, column: str, threshold: int = 1000) -> DataFrame:
@@ -26,8 +27,13 @@ def recode_types(
     threshold: int = 1000,
     rare_label: str = RARE_LABEL,
 ) -> DataFrame:
-    """Merged type for every call: listed groups first, then categories rare in the raw data."""
-    rare = rare_categories(calls, column, threshold).withColumn("_rare", F.lit(True))
+    """Merged type for every call: listed groups first, then categories rare in the raw data.
+
+    The rare categories are counted first; while they are few, no call is shuffled to find them.
+    """
+    rare = broadcast_if_small(
+        rare_categories(calls, column, threshold).withColumn("_rare", F.lit(True))
+    )
     flagged = join_on_keys(calls, rare, [column], "left")
     merged = merge_categories(F.col(column), groups, F.col("_rare").isNotNull(), rare_label)
     return flagged.withColumn(out, merged).drop("_rare")

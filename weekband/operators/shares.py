@@ -74,24 +74,33 @@ def area_adjusted_share(
     """
     if not keep_null:
         areas = areas.where(F.col(level).isNotNull())
-    sizes = areas.groupBy(level).agg(F.count_distinct(area).alias("areas"))
     located = join_on_keys(counts, areas.select(area, level), [area], "inner")
     sums = located.groupBy(*extra, level, "week").agg(F.sum("n").alias("n"))
     if span is None:
         ends = sums.agg(F.min("week").alias("lo"), F.max("week").alias("hi"))
         span = (ends.select("lo").scalar(), ends.select("hi").scalar())
-    inner = (F.date_add(span[0], 7), F.date_sub(span[1], 7))
     inside = sums.where((F.col("week") > span[0]) & (F.col("week") < span[1]))
-    frame = sizes.select(level) if not extra else _pairs(sums, sizes, extra, level)
-    framed = join_on_keys(frame, inside, [*extra, level], "left")
-    full = fill_weeks(framed, [*extra, level], {"n": 0}, span=inner)
-    per_area = join_on_keys(full, sizes, [level], "inner").withColumn(
-        "calls_per_area", F.col("n").cast("double") / F.col("areas")
+    # Levels are few: a week travels as one row with a list of them.
+    weekly = inside.groupBy(*extra, "week").agg(
+        F.collect_list(F.struct(F.col(level).alias("level"), "n")).alias("_seen")
+    )
+    full = fill_weeks(weekly, extra, {}, span=(F.date_add(span[0], 7), F.date_sub(span[1], 7)))
+    sizes = areas.groupBy(level).agg(F.count_distinct(area).alias("areas"))
+    levels = sizes.agg(F.collect_list(F.struct(F.col(level).alias("level"), "areas")).alias("v")).scalar()
+    rows = full.withColumn("_of", F.explode(levels)).withColumn(
+        "n",
+        F.aggregate(
+            F.coalesce(F.filter("_seen", lambda s: s.level.eqNullSafe(F.col("_of.level"))), F.array()),
+            F.lit(0).cast("bigint"),
+            lambda total, s: total + s.n,
+        ),
+    )
+    per_area = rows.select(
+        *extra,
+        F.col("_of.level").alias(level),
+        "week",
+        "n",
+        F.col("_of.areas").alias("areas"),
+        (F.col("n").cast("double") / F.col("_of.areas")).alias("calls_per_area"),
     )
     return share_of_total(per_area, "calls_per_area", [*extra, "week"], "share")
-
-
-def _pairs(sums: DataFrame, sizes: DataFrame, extra: Sequence[str], level: str) -> DataFrame:
-    """Every `extra` key with every level: levels are few, so they travel as one array."""
-    levels = sizes.agg(F.collect_set(F.struct(level)).alias("v")).scalar()
-    return sums.select(*extra).distinct().withColumn("_l", F.explode(levels)).select(*extra, f"_l.{level}")

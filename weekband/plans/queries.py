@@ -34,7 +34,7 @@ from weekband.operators import (
 )
 from weekband.operators.concentration import gini, ties
 from weekband.plans import panels, products
-from weekband.session import materialize
+from weekband.session import broadcast_if_small, materialize
 from weekband.sources import star_tables as star
 from weekband.sources.star_tables import STUDY
 
@@ -111,9 +111,9 @@ def weekly_types(spark: SparkSession, d: str) -> DataFrame:
     return merged.groupBy("incident_type_new", "week").agg(F.sum("n").alias("n"))
 
 
-def area_counts(spark: SparkSession, d: str) -> DataFrame:
-    """(area_id, week, n) without zeros, made durable because several steps read it."""
-    return materialize(series.weekly_counts(star.calls(spark, d, [AREA]), [AREA]))
+def areas_of(spark: SparkSession, d: str) -> DataFrame:
+    """The area table, made durable: it is small next to the calls and read several times."""
+    return broadcast_if_small(star.areas(spark, d))
 
 
 def ends(spark: SparkSession, d: str) -> tuple[Column, Column]:
@@ -223,25 +223,26 @@ def negative_duration_split(spark: SparkSession, d: str) -> DataFrame:
 @query
 def calls_with_area(spark: SparkSession, d: str) -> DataFrame:
     counts = area_ops.calls_by_area(star.calls(spark, d, [AREA]))
-    return area_ops.with_area(counts, star.deprivation_sheet(spark, d))
+    return area_ops.with_area(counts, star.deprivation_sheet(areas_of(spark, d)))
 
 
 @query
 def calls_in_known_areas(spark: SparkSession, d: str) -> DataFrame:
-    known = area_ops.in_known_areas(star.calls(spark, d, [AREA, GRADE]), star.deprivation_sheet(spark, d))
+    sheet = star.deprivation_sheet(areas_of(spark, d))
+    known = area_ops.in_known_areas(star.calls(spark, d, [AREA, GRADE]), sheet)
     return known.groupBy(GRADE).agg(n_rows(), F.count_distinct(AREA).alias("areas"))
 
 
 @query
 def areas_without_rank(spark: SparkSession, d: str) -> DataFrame:
-    everywhere = star.areas(spark, d)
-    return area_ops.without_rank(everywhere, star.deprivation_sheet(spark, d)).select(AREA)
+    everywhere = areas_of(spark, d)
+    return area_ops.without_rank(everywhere, star.deprivation_sheet(everywhere)).select(AREA)
 
 
 @query
 def area_week_panel(spark: SparkSession, d: str) -> DataFrame:
     counts = series.weekly_counts(star.calls(spark, d, [AREA]), [AREA])
-    return area_ops.area_week_panel(counts, star.areas(spark, d), ends(spark, d))
+    return area_ops.area_week_panel(counts, areas_of(spark, d), ends(spark, d))
 
 
 @query
@@ -258,7 +259,7 @@ def area_week_panels(spark: SparkSession, d: str) -> DataFrame:
     calls = star.calls(spark, d, [AREA, TYPE]).withColumn(
         "incident_type_new", merge_categories(F.col(TYPE), TYPE_GROUPS)
     )
-    panel = panels.area_week_panels(calls, star.areas(spark, d), ends(spark, d), by_panel)
+    panel = panels.area_week_panels(calls, areas_of(spark, d), ends(spark, d), by_panel)
     return panel.groupBy("panel", AREA, "imd_decile").agg(
         F.count(F.lit(1)).alias("weeks"),
         F.sum("n").alias("n"),
@@ -516,7 +517,7 @@ def profile_bounds(spark: SparkSession, d: str) -> DataFrame:
 def area_period_averages(spark: SparkSession, d: str) -> DataFrame:
     ts = F.col("incident_date_time")
     calls = series.with_week(star.calls(spark, d, [AREA])).withColumn("period", period(ts, STUDY.cutoff))
-    return profiles.average_by_area_period(calls, star.areas(spark, d), [BEFORE, AFTER])
+    return profiles.average_by_area_period(calls, areas_of(spark, d), [BEFORE, AFTER])
 
 
 @query
@@ -529,24 +530,24 @@ def avg_weekly_calls_by_area_period(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def areas_per_decile(spark: SparkSession, d: str) -> DataFrame:
-    return area_ops.areas_per_level(star.areas(spark, d))
+    return area_ops.areas_per_level(areas_of(spark, d))
 
 
 @query
 def area_group_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return area_ops.with_group_size(materialize(star.areas(spark, d)))
+    return area_ops.with_group_size(areas_of(spark, d))
 
 
 @query
 def dep_terciles(spark: SparkSession, d: str) -> DataFrame:
-    return area_ops.deprivation_terciles(materialize(star.areas(spark, d))).select(
+    return area_ops.deprivation_terciles(areas_of(spark, d)).select(
         AREA, "imd_rank", "dep_level"
     )
 
 
 @query
 def dep_level_weekly_share(spark: SparkSession, d: str) -> DataFrame:
-    levels = area_ops.deprivation_terciles(materialize(star.areas(spark, d)))
+    levels = area_ops.deprivation_terciles(areas_of(spark, d))
     counts = series.weekly_counts(star.calls(spark, d, [AREA, TYPE]).where(F.col(TYPE) == "Brand#10"), [AREA])
     located = area_ops.with_area(counts, levels.select(AREA, "dep_level"))
     weekly = located.groupBy("dep_level", "week").agg(F.sum("n").alias("n"))
@@ -556,19 +557,19 @@ def dep_level_weekly_share(spark: SparkSession, d: str) -> DataFrame:
 @query
 def area_pre_post(spark: SparkSession, d: str) -> DataFrame:
     counts = series.weekly_counts(star.calls(spark, d, [AREA]), [AREA])
-    return area_ops.before_after(counts, star.areas(spark, d), STUDY.cutoff)
+    return area_ops.before_after(counts, areas_of(spark, d), STUDY.cutoff)
 
 
 @query
 def total_calls_by_area(spark: SparkSession, d: str) -> DataFrame:
     counts = area_ops.calls_by_area(star.calls(spark, d, [AREA]))
-    return area_ops.with_area(counts, star.areas(spark, d)).where(F.col("imd_decile").isNotNull())
+    return area_ops.with_area(counts, areas_of(spark, d)).where(F.col("imd_decile").isNotNull())
 
 
 @query
 def calls_by_area_type(spark: SparkSession, d: str) -> DataFrame:
     calls = star.calls(spark, d, [AREA, TYPE]).where(F.col(TYPE) == "Brand#10")
-    return area_ops.all_areas_counted(star.areas(spark, d), area_ops.calls_by_area(calls))
+    return area_ops.all_areas_counted(areas_of(spark, d), area_ops.calls_by_area(calls))
 
 
 @query
@@ -638,7 +639,7 @@ def duration_density_by_grade(spark: SparkSession, d: str) -> DataFrame:
 @query
 def decile_share_weekly(spark: SparkSession, d: str) -> DataFrame:
     counts = series.weekly_counts(star.calls(spark, d, [AREA]), [AREA])
-    areas = materialize(star.areas(spark, d))
+    areas = areas_of(spark, d)
     share = shares.area_adjusted_share(counts, areas, span=ends(spark, d))
     return rounded(rounded(share, 9, "share"), 6, "calls_per_area")
 
@@ -649,7 +650,7 @@ def decile_share_weekly_by_type(spark: SparkSession, d: str) -> DataFrame:
         "incident_type_new", merge_categories(F.col(TYPE), TYPE_GROUPS)
     )
     counts = series.weekly_counts(calls, ["incident_type_new", AREA])
-    areas = materialize(star.areas(spark, d))
+    areas = areas_of(spark, d)
     share = shares.area_adjusted_share(
         counts, areas, extra=["incident_type_new"], span=ends(spark, d), keep_null=False
     )
@@ -798,7 +799,7 @@ def smooth_weekly(spark: SparkSession, d: str) -> DataFrame:
 
 def product_inputs(spark: SparkSession, d: str) -> dict:
     calls = star.calls(spark, d, [TYPE, GRADE, ORIGIN, AREA, *RESPONSE, *SCENE])
-    levels = materialize(area_ops.deprivation_terciles(materialize(star.areas(spark, d))))
+    levels = materialize(area_ops.deprivation_terciles(areas_of(spark, d)))
     return {
         "calls": calls,
         "areas": levels.select(AREA, "dep_level"),

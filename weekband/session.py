@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "weekband", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,3 +42,12 @@ def materialize(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="weekband-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """`df` made durable, marked for broadcast if it has at most `max_rows` rows.
+
+    A larger table is returned as it is, for an ordinary shuffled join with skew handling.
+    """
+    stored = materialize(df)
+    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored

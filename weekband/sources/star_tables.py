@@ -72,8 +72,9 @@ def areas(spark: SparkSession, folder: str) -> DataFrame:
     """Areas with deprivation rank and decile, NULL for every seventeenth one."""
     suppliers = table(spark, folder, "supplier")
     total = suppliers.agg(F.count(F.lit(1))).scalar()
+    balance, block = F.col("s_acctbal"), F.floor(F.col("s_suppkey") / 65536)
     placed = global_position(
-        suppliers, ["s_acctbal", "s_suppkey"], F.floor(F.col("s_acctbal")), "position"
+        suppliers, ["s_acctbal", "s_suppkey"], [F.floor(balance), balance, block], "position"
     )
     ranked = F.col("s_suppkey") % 17 != 0
     return placed.select(
@@ -83,9 +84,9 @@ def areas(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def deprivation_sheet(spark: SparkSession, folder: str) -> DataFrame:
+def deprivation_sheet(areas: DataFrame) -> DataFrame:
     """Attribute table that lacks the areas without a rank."""
-    return areas(spark, folder).where(F.col("imd_rank").isNotNull())
+    return areas.where(F.col("imd_rank").isNotNull())
 
 
 def layer(spark: SparkSession, folder: str) -> DataFrame:
