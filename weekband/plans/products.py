@@ -8,7 +8,7 @@ products cost three passes over the calls instead of twenty.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -60,14 +60,6 @@ class Product:
             conditions.append(F.col(GRADE).isin(list(self.grades)))
         return reduce(Column.__and__, conditions)
 
-    def labels(self) -> Column:
-        key_value = F.lit(None) if self.key is None else F.col(self.key)
-        return F.struct(
-            F.lit(self.metric).alias("metric"),
-            F.lit(self.key).cast("string").alias("key_name"),
-            key_value.cast("string").alias("key_value"),
-        )
-
 
 @dataclass(frozen=True)
 class Names:
@@ -117,11 +109,44 @@ class Recode:
     unknown_origins: Sequence[str] = UNKNOWN_ORIGINS
 
 
-def _contributions(reduced: DataFrame, products: Sequence[Product], sums: Sequence[str]) -> DataFrame:
-    """Reduced rows repeated once per product that covers them, keyed by product and key value."""
-    hits = F.array(*(F.when(p.covers(), p.labels()) for p in products))
-    return reduced.withColumn("_to", F.explode(F.array_compact(hits))).select(
-        "_to.*", "week", *sums
+def _contributions(
+    reduced: DataFrame, products: Sequence[Product], *also: Column
+) -> DataFrame:
+    """Reduced rows repeated once per product that covers them.
+
+    Adds `product`, the place of the product in the list, and `key_value`. A small number is
+    cheaper to shuffle and sort than the metric's name, which `_named` puts back. `also` holds one
+    more condition per product, if any.
+    """
+    extra = also or [F.lit(True)] * len(products)
+    hits = F.array(
+        *(
+            F.when(
+                p.covers() & condition,
+                F.struct(
+                    F.lit(i).cast("short").alias("product"),
+                    (F.lit(None) if p.key is None else F.col(p.key)).cast("string").alias("key_value"),
+                ),
+            )
+            for i, (p, condition) in enumerate(zip(products, extra))
+        )
+    )
+    return reduced.withColumn("_to", F.explode(F.array_compact(hits))).select("*", "_to.*").drop("_to")
+
+
+def _look_up(products: Sequence[Product], attribute: str) -> Column:
+    names = F.array(*(F.lit(getattr(p, attribute)).cast("string") for p in products))
+    return F.get(names, F.col("product").cast("int"))
+
+
+def _named(series: DataFrame, products: Sequence[Product]) -> DataFrame:
+    """(metric, key_name, key_value, week, value) from numbered products."""
+    return series.select(
+        _look_up(products, "metric").alias("metric"),
+        _look_up(products, "key").alias("key_name"),
+        "key_value",
+        "week",
+        "value",
     )
 
 
@@ -157,25 +182,26 @@ def rare_types(cube: DataFrame, recode: Recode) -> DataFrame:
 def volume_series(
     cube: DataFrame, rare: DataFrame, products: Sequence[Product], recode: Recode
 ) -> DataFrame:
-    """Counts and attendance rates."""
+    """Counts and attendance rates. Only products keyed by origin need the origin kept apart."""
     merged = _recoded(cube, recode, rare).withColumn(
         ORIGIN, merge_origins(F.col(ORIGIN), recode.origins, recode.unknown_origins)
     )
     wanted = _pick(products, "count", "attended")
-    sums = (
-        _contributions(merged, wanted, ["n", "attended"])
-        .groupBy(*SERIES_KEYS, "week")
-        .agg(F.sum("n").alias("n"), F.sum("attended").alias("attended"))
-    )
-    value = F.when(_measure_of(wanted) == "count", F.col("n").cast("double")).otherwise(
-        percent(F.col("attended"), F.col("n"))
-    )
-    return sums.select(*SERIES_KEYS, "week", value.alias("value"))
-
-
-def _measure_of(products: Sequence[Product]) -> Column:
-    pairs = [f for p in products for f in (F.lit(p.metric), F.lit(p.measure))]
-    return F.element_at(F.create_map(*pairs), F.col("metric"))
+    parts = []
+    for columns, chosen in (
+        ([TYPE, GRADE], [p for p in wanted if p.key != ORIGIN]),
+        ([TYPE, GRADE, ORIGIN], [p for p in wanted if p.key == ORIGIN]),
+    ):
+        if not chosen:
+            continue
+        summed = (F.sum("n").alias("n"), F.sum("attended").alias("attended"))
+        reduced = merged.groupBy("week", *columns).agg(*summed)
+        sums = _contributions(reduced, chosen).groupBy("product", "key_value", "week").agg(*summed)
+        value = F.when(_look_up(chosen, "measure") == "count", F.col("n").cast("double")).otherwise(
+            percent(F.col("attended"), F.col("n"))
+        )
+        parts.append(_named(sums.withColumn("value", value), chosen))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def duration_series(
@@ -207,18 +233,12 @@ def duration_series(
         .groupBy("week", "incident_type", GRADE, "kind", "minutes")
         .agg(F.count(F.lit(1)).alias("m"))
     )
-    merged = _recoded(counted, recode, rare)
     wanted = _pick(products, "response", "scene")
     # A product takes only its own kind of duration.
-    hits = F.array(
-        *(F.when(p.covers() & (F.col("kind") == p.measure), p.labels()) for p in wanted)
-    )
-    rows = merged.withColumn("_to", F.explode(F.array_compact(hits))).select(
-        "_to.*", "week", "minutes", "m"
-    )
-    return median(rows, [*SERIES_KEYS, "week"], "minutes", 60.0, weight="m").select(
-        *SERIES_KEYS, "week", F.col("median").alias("value")
-    )
+    own_kind = (F.col("kind") == p.measure for p in wanted)
+    rows = _contributions(_recoded(counted, recode, rare), wanted, *own_kind)
+    found = median(rows, ["product", "key_value", "week"], "minutes", 60.0, weight="m")
+    return _named(found.withColumnRenamed("median", "value"), wanted)
 
 
 def area_ties(
@@ -234,17 +254,16 @@ def area_ties(
         .groupBy("week", "incident_type", "area_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # These products have no grade filter, so type and area are enough.
-    wanted = _pick(products, "gini", "share")
-    hits = F.array(*(F.when(p.covers(), F.lit(p.metric)) for p in wanted))
+    # These products have no grade filter, and shares get their key from the area.
+    wanted = [replace(p, key=None) for p in _pick(products, "gini", "share")]
     rows = (
-        _recoded(counted, recode, rare)
-        .withColumn("metric", F.explode(F.array_compact(hits)))
-        .groupBy("metric", "week", "area_id")
+        _contributions(_recoded(counted, recode, rare), wanted)
+        .groupBy("product", "week", "area_id")
         .agg(F.sum("n").alias("n"))
     )
     listed = areas.select("area_id", LEVEL, F.lit(True).alias("known"))
-    return ties(rows.join(listed, "area_id", "left"), ["metric", "week", LEVEL, "known"])
+    tied = ties(rows.join(listed, "area_id", "left"), ["product", "week", LEVEL, "known"])
+    return tied.withColumn("metric", _look_up(wanted, "metric")).drop("product")
 
 
 def gini_series(
@@ -294,14 +313,16 @@ def product_series(
     both of which may be incomplete and are dropped.
     """
     cube = materialize(volume_cube(calls))
-    rare = rare_types(cube, recode)
-    tied = materialize(area_ties(calls, rare, areas, products, recode))
-    series = (
-        volume_series(cube, rare, products, recode)
-        .unionByName(duration_series(calls, rare, products, recode))
-        .unionByName(gini_series(tied, areas, span, products))
-        .unionByName(share_series(tied, products))
-    )
+    rare = materialize(rare_types(cube, recode))
+    parts = []
+    if _pick(products, "count", "attended"):
+        parts.append(volume_series(cube, rare, products, recode))
+    if _pick(products, "response", "scene"):
+        parts.append(duration_series(calls, rare, products, recode))
+    if _pick(products, "gini", "share"):
+        tied = materialize(area_ties(calls, rare, areas, products, recode))
+        parts += [gini_series(tied, areas, span, products), share_series(tied, products)]
+    series = reduce(DataFrame.unionByName, parts)
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     inner = series.where((F.col("week") > lo) & (F.col("week") < hi))
     filled = fill_weeks(inner.withColumn("_real", F.lit(True)), SERIES_KEYS, {"value": None, "_real": False})

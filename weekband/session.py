@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,24 +25,35 @@ def build_session(app_name: str = "weekband", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: `spark.checkpoint.dir`, which all executors share.
+
+    A temporary folder is made only in local mode, once per session.
+    """
+    context = spark.sparkContext
+    folder = (
+        context.getCheckpointDir()
+        or context.getConf().get("spark.checkpoint.dir")
+        or spark.conf.get("spark.checkpoint.dir", None)
+    )
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="weekband-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` once to the reliable checkpoint folder and read it from there.
+    """Write `df` once as a table in the shared folder and read it from there.
 
     Used where one aggregated table feeds several branches of a plan, so that the events are
-    scanned once. The folder is the one named by `spark.checkpoint.dir`; a temporary one is made
-    only in local mode.
+    scanned once and lost executors cost no recomputation. The written table also has a known
+    size, by which later joins are planned.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="weekband-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

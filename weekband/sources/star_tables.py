@@ -74,7 +74,10 @@ def areas(spark: SparkSession, folder: str) -> DataFrame:
     total = suppliers.agg(F.count(F.lit(1))).scalar()
     balance, block = F.col("s_acctbal"), F.floor(F.col("s_suppkey") / 65536)
     placed = global_position(
-        suppliers, ["s_acctbal", "s_suppkey"], [F.floor(balance), balance, block], "position"
+        suppliers,
+        ["s_acctbal", "s_suppkey"],
+        [F.floor(balance), F.struct(balance, block.alias("block"))],
+        "position",
     )
     ranked = F.col("s_suppkey") % 17 != 0
     return placed.select(
