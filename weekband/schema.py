@@ -21,23 +21,6 @@ CALLS = T.StructType(
     ]
 )
 
-POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-RINGS = T.ArrayType(T.ArrayType(POINT))
-
-BAND = T.StructType(
-    [
-        T.StructField("metric", T.StringType()),
-        T.StructField("key_name", T.StringType()),
-        T.StructField("key_value", T.StringType()),
-        T.StructField("week", T.DateType()),
-        T.StructField("actual", T.DoubleType()),
-        T.StructField("mean", T.DoubleType()),
-        T.StructField("lower", T.DoubleType()),
-        T.StructField("upper", T.DoubleType()),
-        T.StructField("sig", T.BooleanType()),
-    ]
-)
-
 
 @dataclass(frozen=True)
 class Study:
