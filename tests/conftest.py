@@ -10,7 +10,7 @@ TESTDATA = Path("/root/testdata")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from weekband.session import build_session
 
     session = build_session(
@@ -19,6 +19,8 @@ def spark():
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
         spark__ui__enabled="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
+        spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
         spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")

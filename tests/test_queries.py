@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from weekband.operators import quantiles
 from weekband.plans import queries as q
+from weekband.plans.oracle import ORACLE as TWINS
 from weekband.plans.products import Names, all_products
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = q.QUERIES, TWINS
 WITHOUT_TWIN = {
     "moran_p_values",
     "forecast_harmonic_band",

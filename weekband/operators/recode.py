@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weekband.functions.recode import RARE_LABEL, TYPE_GROUPS, merge_categories
 from weekband.operators.common import by, join_on_keys
-from weekband.session import broadcast_if_small
+from weekband.session import materialize
 
 
 def rare_categories(df: DataFrame, column: str, threshold: int = 1000) -> DataFrame:
@@ -31,7 +31,7 @@ def recode_types(
 
     The rare categories are counted first; while they are few, no call is shuffled to find them.
     """
-    rare = broadcast_if_small(
+    rare = materialize(
         rare_categories(calls, column, threshold).withColumn("_rare", F.lit(True))
     )
     flagged = join_on_keys(calls, rare, [column], "left")

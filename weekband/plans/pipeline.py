@@ -19,7 +19,7 @@ from weekband.operators.recode import recode_types
 from weekband.plans.panels import area_week_panels
 from weekband.plans.products import Names, Recode, all_products, forecast_products
 from weekband.schema import Study
-from weekband.session import broadcast_if_small, build_session, materialize
+from weekband.session import build_session, materialize
 from weekband.sources.files import read_calls, write_results
 
 BEFORE, AFTER = "Pre-COVID", "2020"
@@ -107,7 +107,7 @@ def deprivation_report(
     active weeks per decile and period, `weekly_share` the share of each decile per area and week.
     With `types`, `weekly_share` is split by their labels.
     """
-    attributes = broadcast_if_small(areas.select("area_id", "imd_decile"))
+    attributes = materialize(areas.select("area_id", "imd_decile"))
     known = area_ops.in_known_areas(series.with_week(calls), attributes)
     ranked = attributes.where(F.col("imd_decile").isNotNull())
     period_label = period(F.col("incident_date_time"), study.cutoff, BEFORE, AFTER)

@@ -34,7 +34,7 @@ from weekband.operators import (
 )
 from weekband.operators.concentration import gini, ties
 from weekband.plans import panels, products
-from weekband.session import broadcast_if_small, materialize
+from weekband.session import materialize
 from weekband.sources import star_tables as star
 from weekband.sources.star_tables import STUDY
 
@@ -113,7 +113,7 @@ def weekly_types(spark: SparkSession, d: str) -> DataFrame:
 
 def areas_of(spark: SparkSession, d: str) -> DataFrame:
     """The area table, made durable: it is small next to the calls and read several times."""
-    return broadcast_if_small(star.areas(spark, d))
+    return materialize(star.areas(spark, d))
 
 
 def ends(spark: SparkSession, d: str) -> tuple[Column, Column]:

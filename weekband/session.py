@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "weekband", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,21 +24,20 @@ def build_session(app_name: str = "weekband", master: str | None = None, **conf:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: `spark.checkpoint.dir`, which all executors share.
+    """A folder of this application for intermediate tables, which all executors share.
 
-    A temporary folder is made only in local mode, once per session.
+    It lies in `spark.checkpoint.dir`; where that is unset, in the warehouse folder, which a cluster
+    shares as well. It is deleted when the application ends.
     """
     context = spark.sparkContext
-    folder = (
-        context.getCheckpointDir()
-        or context.getConf().get("spark.checkpoint.dir")
-        or spark.conf.get("spark.checkpoint.dir", None)
-    )
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weekband-"))
-        folder = context.getCheckpointDir()
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        root = context.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/.scratch"
+    folder = f"{root.rstrip('/')}/weekband-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
     return folder
 
 
@@ -54,12 +51,3 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """`df` made durable, marked for broadcast if it has at most `max_rows` rows.
-
-    A larger table is returned as it is, for an ordinary shuffled join with skew handling.
-    """
-    stored = materialize(df)
-    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
