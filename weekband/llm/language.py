@@ -147,9 +147,9 @@ def predict(
         tool = Compressor(contents, levels, narrow)
         for batch in it:
             found = [tool.predict(t.as_py(), margin) for t in batch.column(1)]
-            lang, score, narrow = zip(*found) if found else ((), (), ())
+            lang, score, weak = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(narrow, pa.bool_())],
+                [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(weak, pa.bool_())],
                 ["doc_id", "lang_pred", "score", "rejected"],
             )
 
