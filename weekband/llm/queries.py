@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekband.llm import chat, contamination, language, mixing, near_dup, quality, token_files, urls
+from weekband.llm import chat, contamination, language, mixing, near_dup, quality, repeats, token_files, urls
 from weekband.llm.common import materialize, table, word_count
 
 RULES = [
@@ -25,6 +25,19 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def repeated_strings(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of every document without the 100-byte strings that start earlier in the corpus."""
+    cut = repeats.remove_repeats(table(spark, d, "documents"))
+    sizes = F.transform("removed", lambda r: r["end"] - r["start"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def decontamination(spark: SparkSession, d: str) -> DataFrame:
     """Test items that documents contain."""
     return contamination.contained_items(table(spark, d, "documents"), table(spark, d, "benchmark"))
@@ -90,6 +103,7 @@ def mixture(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_duplicates,
+    "op2_repeated_strings": repeated_strings,
     "op3_decontamination": decontamination,
     "op4_language_id": language_id,
     "op6_quality_rules": quality_rules,
