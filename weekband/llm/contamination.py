@@ -204,6 +204,25 @@ def contained_items(
     return functools.reduce(DataFrame.unionByName, found, empty) if found else empty
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Distinct `doc_id` of documents that contain a test item."""
-    return contained_items(docs, benchmark, threshold).select("doc_id").distinct()
+def without_items(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    threshold: float = 0.8,
+    n_hashes: int = 20,
+    block_bytes: int = 16 << 20,
+    item_id: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """The rows of `docs` that contain no test item, as they are; narrow steps, one per block of items."""
+    at = docs.columns.index("text")
+    rows = docs.select(F.struct("*").alias("row"))
+
+    def drop(it: Iterator[pa.RecordBatch], items: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+        sketches = Sketches(items, n_hashes, threshold)
+        for batch in it:
+            clean = [not sketches.search(t.as_py()) for t in batch.column(0).field(at)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    for block in blocks(benchmark, item_id, item_text, block_bytes):
+        rows = rows.mapInArrow(functools.partial(drop, items=block), rows.schema)
+    return rows.select("row.*")

@@ -29,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weekband.session import materialize
+from weekband.llm.common import doc_key, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -243,28 +244,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame | None:
-    """Verified `a`, `b` between keys of `nodes` (`key`, `doc_id`, `bands`); None if there are no candidates."""
+def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Verified `a`, `b` between keys of `nodes` (`key`, `doc_id`, `bands`)."""
     spread = nodes.select("key", F.posexplode("bands").alias("band", "value"))
     crowded = spread.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(spread.join(crowded, ["band", "value"]))
     score = members.groupBy("key").agg(F.sum("size").alias("score"))
     pending = materialize(members.drop("size").join(score, "key"))
     wanted = materialize(score.select("key").join(nodes, "key"))
+    # Grouping uses the partitions and the order of the join, so texts move once.
+    own = docs.select("text", doc_key(F.col("doc_id")).alias("id"), text_key(F.col("text")).alias("key"))
     texts = materialize(
-        docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
-        .join(
-            wanted.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")),
-            F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")),
-        )
-        .groupBy("_key", "_id")
+        own.join(wanted.select(doc_key(F.col("doc_id")).alias("id"), "key"), ["id", "key"])
+        .groupBy("id", "key")
         .agg(F.first("text").alias("text"))
-        .select(F.col("_key").alias("key"), "text")
+        .select("key", "text")
     )
     bands = wanted.select("key", "bands")
-    found: DataFrame | None = None
-    tested: DataFrame | None = None
-    at = 0
+    empty = docs.sparkSession.createDataFrame([], "a binary, b binary")
+    found, tested, at = empty, empty, 0
     while not pending.isEmpty():
         slices = 1 if at == 0 else SLICES
         part = F.pmod(F.xxhash64("key", F.lit(at)), F.lit(slices))
@@ -279,9 +277,7 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame | No
             .select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b"))
             .distinct()
         )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
         likely = materialize(
             pairs.join(bands.withColumnsRenamed({"key": "a", "bands": "a_bands"}), "a")
             .join(bands.withColumnsRenamed({"key": "b", "bands": "b_bands"}), "b")
@@ -292,21 +288,14 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame | No
             texts.withColumnsRenamed({"key": "b", "text": "b_text"}), "b"
         )
         new = materialize(verified(both, threshold))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = new if found is None else found.unionByName(new)
-        if found.isEmpty():
-            labels = None
-        else:
-            labels = components(found)
-        pending = unsettled(pending, leaders, labels)
+        tested, found = tested.unionByName(pairs), found.unionByName(new)
+        pending = unsettled(pending, leaders, components(found))
         at += 1
     return found
 
 
-def unsettled(pending: DataFrame, leaders: DataFrame, labels: DataFrame | None) -> DataFrame:
+def unsettled(pending: DataFrame, leaders: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that no leader of the bucket is linked to, in buckets with two of them or more."""
-    if labels is None:
-        labels = pending.select("key", F.col("key").alias("label")).limit(0)
     named = lambda column: F.coalesce("label", F.col(column))
     lead = leaders.join(labels.withColumnRenamed("key", "leader"), "leader", "left").select(
         "band", "value", named("leader").alias("label")
@@ -318,18 +307,33 @@ def unsettled(pending: DataFrame, leaders: DataFrame, labels: DataFrame | None)
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """`doc_id`, `key`, `class_id`, `class_size` for every row of `docs` (`doc_id`, `text`)."""
+    """`doc_id`, `key`, `label`, `class_id`, `class_size` for every row of `docs` (`doc_id`, `text`).
+
+    `key` is the digest of the text, `label` one of the keys of the class.
+    """
     rows = materialize(sketches(docs))
     nodes = materialize(
         rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     )
     found = links(docs, nodes.where(F.size("bands") > 0).select("key", "doc_id", "bands"), threshold)
-    if found is None or found.isEmpty():
-        named = nodes.select("key", F.col("doc_id").alias("class_id"), F.col("copies").alias("class_size"))
-    else:
-        labels = components(found)
-        joined = nodes.select("key", "doc_id", "copies").join(labels, "key", "left")
-        labelled_nodes = materialize(joined.withColumn("label", F.coalesce("label", F.col("key"))))
-        per_class = labelled_nodes.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-        named = labelled_nodes.join(per_class, "label").select("key", "class_id", "class_size")
-    return rows.select("doc_id", "key").join(materialize(named), "key").select("doc_id", "key", "class_id", "class_size")
+    joined = nodes.select("key", "doc_id", "copies").join(components(found), "key", "left")
+    member = materialize(joined.withColumn("label", F.coalesce("label", F.col("key"))))
+    per_class = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    named = member.join(per_class, "label").select("key", "label", "class_id", "class_size")
+    return rows.select("doc_id", "key").join(materialize(named), "key")
+
+
+def one_per_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """One row of `docs` per class, that with the smallest `doc_id`, as it is."""
+    columns = docs.columns
+    row = docs.select(F.struct("*").alias("row"))
+    plain = row.select("row.doc_id", "row.text")
+    found = classes(plain, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    # Should rows with one id and different texts name a class, the smallest digest counts.
+    chosen = found.groupBy("label").agg(F.min("key").alias("_key"), F.min(doc_key(F.col("doc_id"))).alias("_id"))
+    own = row.withColumn("_id", doc_key(F.col("row.doc_id"))).withColumn("_key", text_key(F.col("row.text")))
+    # Repeated rows with the id and text of the chosen one: the first by hash of all columns.
+    others = F.xxhash64(*(F.col("row")[c] for c in columns))
+    first = F.row_number().over(W.partitionBy("_id", "_key").orderBy(others))
+    joined = own.join(chosen.select("_id", "_key"), ["_id", "_key"])
+    return joined.withColumn("_n", first).where("_n = 1").select("row.*")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -92,22 +93,20 @@ OTHER_UPPER = re.compile("[À-ÖØ-Þ]")
 MARKS = b"#*$%&|<>!"
 
 
-def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """`doc_id`, the columns of `MEASURES`, and `carry`; a narrow step without a shuffle."""
-    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *carry)
-    fields = [f for f in chosen.schema.fields if f.name != "_text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + MEASURES
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs` as a struct `row`, and the columns of `MEASURES`; a narrow step without a shuffle."""
+    at = docs.columns.index(text)
+    row = docs.select(F.struct("*").alias("row"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            at = batch.schema.get_field_index("_text")
-            rows = [measure(t.as_py()) for t in batch.column(at)]
-            columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
+            rows = [measure(t.as_py()) for t in batch.column(0).field(at)]
             counts = np.array(rows, np.int64).reshape(len(rows), len(NAMES))
-            names = [batch.schema.field(i).name for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(counts[:, k]) for k in range(len(NAMES))], names + NAMES)
+            columns = [batch.column(0), *(pa.array(counts[:, k]) for k in range(len(NAMES)))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", *NAMES])
 
-    return chosen.mapInArrow(batches, schema)
+    counts = T.StructType([T.StructField(n, T.LongType()) for n in NAMES])
+    return row.mapInArrow(batches, T.StructType([*row.schema.fields, *counts.fields]))
 
 
 def base_failed() -> Column:
@@ -168,22 +167,32 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, steps: int = 200, tolera
     return good
 
 
-def judge(measures: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """`measures` with `base_failed`, `quality` (posterior) and `kept`.
+def vote_pattern() -> Column:
+    """All votes as one number in base 3."""
+    return sum(((v + 1) * 3**k for k, v in enumerate(votes())), F.lit(0)).cast("int")
 
-    `measures` is read twice, so it should be a written table.
-    """
-    rules = votes()
-    code = sum(((v + 1) * 3**k for k, v in enumerate(rules)), F.lit(0)).cast("int")
-    voted = measures.withColumn("pattern", code).withColumn("base_failed", base_failed())
-    table = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()
+
+def pattern_quality(measures: DataFrame) -> DataFrame:
+    """`pattern`, `quality`: at most 3^rules rows of twelve bytes, fitted to the votes of all documents."""
+    table = measures.groupBy(vote_pattern().alias("pattern")).agg(F.count(F.lit(1)).alias("n")).toPandas()
     codes = table["pattern"].to_numpy(np.int64)
-    patterns = (codes[:, None] // 3 ** np.arange(len(rules)) % 3 - 1).astype(np.int64)
+    patterns = codes[:, None] // 3 ** np.arange(len(votes())) % 3 - 1
     quality = fit_votes(patterns, table["n"].to_numpy(np.int64))
-    session = measures.sparkSession
-    known = session.createDataFrame(
-        pd.DataFrame({"pattern": codes.astype(np.int32), "quality": quality}), "pattern int, quality double"
-    )
+    rows = pd.DataFrame({"pattern": codes.astype(np.int32), "quality": quality})
+    return measures.sparkSession.createDataFrame(rows, "pattern int, quality double")
+
+
+def judge(measures: DataFrame, known: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """`measures` with `base_failed`, `quality` (the posterior of its votes in `known`) and `kept`."""
+    voted = measures.withColumn("pattern", vote_pattern()).withColumn("base_failed", base_failed())
     kept = ~F.col("base_failed") & (F.col("quality") >= threshold)
-    # At most 3^rules rows of twelve bytes.
     return voted.join(F.broadcast(known), "pattern").drop("pattern").withColumn("kept", kept)
+
+
+def kept_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs` that are kept, as they are.
+
+    Texts are measured twice, once to fit the rules and once to apply them, which costs less than moving or storing them.
+    """
+    measures = measured(docs, text)
+    return judge(measures, pattern_quality(measures)).where("kept").select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekband.llm import chat, contamination, language, mixing, near_dup, quality, repeats, token_files, urls
+from weekband.llm import chat, contamination, language, mixing, near_dup, quality, repeats, secret_scan, token_files, urls
 from weekband.llm.common import materialize, table, word_count
 
 RULES = [
@@ -51,10 +51,26 @@ def language_id(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("held_out", language.held_out(F.col("doc_id")))
 
 
+def secrets(spark: SparkSession, d: str) -> DataFrame:
+    """Secrets in every document, by kind and place."""
+    found = secret_scan.scan(table(spark, d, "documents"))
+    kind = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
+    base = secret_scan.written(F.filter("spans", lambda s: s["rank"] < 3))
+    return found.select(
+        "doc_id",
+        kind(0).alias("n_assign"),
+        kind(1).alias("n_access"),
+        kind(2).alias("n_hex"),
+        F.sha2(base, 256).alias("base_sha256"),
+        secret_scan.written(F.col("spans")).alias("spans"),
+    )
+
+
 def quality_rules(spark: SparkSession, d: str) -> DataFrame:
     """Counts, base rules and the verdict of the voting rules for every document."""
-    measures = materialize(quality.measured(table(spark, d, "documents")))
-    return quality.judge(measures).select(
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    measures = materialize(quality.measured(docs).withColumn("doc_id", F.col("row.doc_id")).drop("row"))
+    return quality.judge(measures, quality.pattern_quality(measures)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
     )
 
@@ -106,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repeated_strings": repeated_strings,
     "op3_decontamination": decontamination,
     "op4_language_id": language_id,
+    "op5_secrets": secrets,
     "op6_quality_rules": quality_rules,
     "op7_url_filters": url_filters,
     "op8_chat_format": chat_format,

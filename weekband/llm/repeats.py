@@ -34,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekband.session import materialize
+from weekband.llm.common import doc_key, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -412,10 +412,6 @@ def settle_strings(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         yield from in_batches(span_rows(split_first(joined_items(parts))[1], buckets))
 
 
-def doc_key(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
-
-
 def spans(docs: DataFrame) -> DataFrame:
     """`doc`, `tie`, `spans` (list of packed spans) of the documents that have any; `docs` has `doc_id` and `text`."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
