@@ -8,10 +8,12 @@ vocabulary. Two texts are linked if a banded alignment of their k-mer sequences
 
 * 64 values per text form 32 bands of two. At similarity 0.8 two texts share no band with a probability under 1e-6.
 * Equal texts are one node from the start, so copies cost nothing later.
-* In a bucket nobody is compared with everybody. A leader, the member with the largest buckets, is compared with all other members;
-  who is linked to it, directly or through others, is settled, the rest chooses new leaders, and so on until nobody is left. Later rounds have a
-  leader in each of several slices of a bucket. A pair reaches the alignment only if at least 18 of its 64
-  values agree (at 0.8 fewer agree with a probability under 1e-6).
+* In a bucket nobody is compared with everybody. A leader, the member with the largest buckets, is compared with all
+  other members, and what is linked becomes a component.
+* Where a bucket still has more than one component, which happens among texts that share a frequent passage, its texts go on to an exact search by
+  prefix filter: two similar texts share one of the rarest fifth of their k-mers, whatever order of rarity is used. There one member
+  of each component per k-mer is left, and leaders, in more slices each round, are compared until nobody is left.
+* A pair reaches the alignment only if at least 22 of its 64 values agree (at 0.8 fewer agree with a probability near 1e-5).
 * Components come from smallest labels with pointer jumping. Tables between rounds lie in the shared folder.
 
 Defined results: a NULL text counts as empty; texts without words form classes of equal texts only; a class is named by
@@ -21,6 +23,7 @@ read whole.
 
 from __future__ import annotations
 
+import functools
 import sys
 from collections import defaultdict
 from collections.abc import Iterator
@@ -39,8 +42,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 K = 5
 BANDS = 32
 VALUES = 2 * BANDS
-MIN_AGREE = 18
-SLICES = 8
+MIN_AGREE = 22
+#: Leaders per bucket in the first round of the exact search; each later round has this many times more.
+SLICES = 16
+#: Bounds of the list of frequent k-mers: texts looked at, and k-mers kept. It makes the exact search faster and changes no result.
+SAMPLED_TEXTS, FREQUENT = 2000, 100_000
 CACHE_WORDS = 500_000
 #: ASCII signs that are neither letters nor digits become spaces.
 ONLY_WORDS = bytes(
@@ -188,11 +194,18 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return head + tail + zeros + (width - row.bit_count())
 
 
+def shared_kmers(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of k-mers two texts have in common, wherever they stand; no alignment has more."""
+    return len(np.intersect1d(labelled(a), labelled(b), assume_unique=True))
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     """Aligned share of all k-mers; 0 where the sizes alone rule the threshold out."""
     total, small = len(a) + len(b), min(len(a), len(b))
     if not small or small < threshold * max(len(a), len(b)):
         return 0.0
+    if shared_kmers(a, b) < threshold / (1 + threshold) * total - 1e-9:
+        return 0.0
     # A pair over the threshold leaves at most this many k-mers out, so its alignment stays in the band.
     band = int(total * (1 - threshold) / (1 + threshold)) + 1
     common = aligned(a, b, band)
@@ -246,12 +259,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Verified `a`, `b` between keys of `nodes` (`key`, `doc_id`, `bands`)."""
-    spread = nodes.select("key", F.posexplode("bands").alias("band", "value"))
-    crowded = spread.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(spread.join(crowded, ["band", "value"]))
+    spread = nodes.select("key", F.posexplode("bands").alias("band", "value")).select(
+        "key", F.xxhash64("band", "value").alias("bucket")
+    )
+    crowded = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = materialize(spread.join(crowded, "bucket"))
     score = members.groupBy("key").agg(F.sum("size").alias("score"))
-    pending = materialize(members.drop("size").join(score, "key"))
-    wanted = materialize(score.select("key").join(nodes, "key"))
+    wanted = materialize(score.join(nodes, "key"))
     # Grouping uses the partitions and the order of the join, so texts move once.
     own = docs.select("text", doc_key(F.col("doc_id")).alias("id"), text_key(F.col("text")).alias("key"))
     texts = materialize(
@@ -260,50 +274,106 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
         .agg(F.first("text").alias("text"))
         .select("key", "text")
     )
-    bands = wanted.select("key", "bands")
+    bands, scores = wanted.select("key", "bands"), wanted.select("key", "score")
     empty = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    found, tested, at = empty, empty, 0
+
+    first = with_leaders(members.select("bucket", "key").join(scores, "key"), 1, 0)
+    tested, found = compare(first, empty, bands, texts, threshold)
+    labels = components(found)
+    named = members.select("bucket", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", F.col("key")))
+    mixed_up = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    doubtful = materialize(members.join(mixed_up, "bucket", "left_semi").select("key").distinct())
+    if doubtful.isEmpty():
+        return found
+    rare = prefixes(doubtful.join(texts, "key"), threshold)
+    pending = materialize(one_per_component(rare.join(scores, "key"), labels))
+    slices, at = SLICES, 1
     while not pending.isEmpty():
-        slices = 1 if at == 0 else SLICES
-        part = F.pmod(F.xxhash64("key", F.lit(at)), F.lit(slices))
-        leaders = (
-            pending.groupBy("band", "value", part.alias("part"))
-            .agg(F.max(F.struct("score", "key")).alias("top"))
-            .select("band", "value", F.col("top.key").alias("leader"))
-        )
-        leaders = materialize(leaders)
-        pairs = (
-            pending.select("band", "value", "key").join(leaders, ["band", "value"]).where("key <> leader")
-            .select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b"))
-            .distinct()
-        )
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-        likely = materialize(
-            pairs.join(bands.withColumnsRenamed({"key": "a", "bands": "a_bands"}), "a")
-            .join(bands.withColumnsRenamed({"key": "b", "bands": "b_bands"}), "b")
-            .where(agreement(F.col("a_bands"), F.col("b_bands")) >= MIN_AGREE)
-            .select("a", "b")
-        )
-        both = likely.join(texts.withColumnsRenamed({"key": "a", "text": "a_text"}), "a").join(
-            texts.withColumnsRenamed({"key": "b", "text": "b_text"}), "b"
-        )
-        new = materialize(verified(both, threshold))
+        led = materialize(with_leaders(pending, slices, at))
+        pairs, new = compare(led, tested, bands, texts, threshold)
         tested, found = tested.unionByName(pairs), found.unionByName(new)
-        pending = unsettled(pending, leaders, components(found))
-        at += 1
+        labels = components(found)
+        settled = led.select("bucket", F.col("leader").alias("key")).distinct()
+        pending = materialize(one_per_component(pending, labels, settled))
+        slices, at = slices * SLICES, at + 1
     return found
 
 
-def unsettled(pending: DataFrame, leaders: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that no leader of the bucket is linked to, in buckets with two of them or more."""
-    named = lambda column: F.coalesce("label", F.col(column))
-    lead = leaders.join(labels.withColumnRenamed("key", "leader"), "leader", "left").select(
-        "band", "value", named("leader").alias("label")
-    ).distinct()
-    own = pending.join(labels, "key", "left").select("band", "value", "key", "score", named("key").alias("label"))
-    rest = materialize(own.join(lead, ["band", "value", "label"], "left_anti"))
-    crowded = rest.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "value")
-    return materialize(rest.join(crowded, ["band", "value"]).select("band", "value", "key", "score"))
+def with_leaders(members: DataFrame, slices: int, at: int) -> DataFrame:
+    """`bucket`, `key`, `leader`: every member with every leader of its bucket; one leader in each slice, by `score`."""
+    part = F.pmod(F.xxhash64("key", F.lit(at)), F.lit(slices))
+    leaders = members.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("score", "key")).alias("top"))
+    chosen = leaders.select("bucket", F.col("top.key").alias("leader"))
+    return members.select("bucket", "key").join(chosen, "bucket")
+
+
+def compare(
+    led: DataFrame, tested: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float
+) -> tuple[DataFrame, DataFrame]:
+    """The pairs (`a`, `b`) of members and leaders not tested before, and those of them that are linked."""
+    pairs = (
+        led.where("key <> leader")
+        .select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b"))
+        .distinct()
+        .join(tested, ["a", "b"], "left_anti")
+    )
+    pairs = materialize(pairs)
+    likely = (
+        pairs.join(bands.withColumnsRenamed({"key": "a", "bands": "a_bands"}), "a")
+        .join(bands.withColumnsRenamed({"key": "b", "bands": "b_bands"}), "b")
+        .where(agreement(F.col("a_bands"), F.col("b_bands")) >= MIN_AGREE)
+        .select("a", "b")
+    )
+    both = likely.join(texts.withColumnsRenamed({"key": "a", "text": "a_text"}), "a").join(
+        texts.withColumnsRenamed({"key": "b", "text": "b_text"}), "b"
+    )
+    return pairs, materialize(verified(both, threshold))
+
+
+def one_per_component(members: DataFrame, labels: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+    """`bucket`, `key`, `score`: the best member of each component in buckets with two components or more.
+
+    Leaders that are `settled` in a bucket, and whatever is linked to them, are left out.
+    """
+    label = F.coalesce("label", F.col("key"))
+    named = members.select("bucket", "key", "score").join(labels, "key", "left").withColumn("label", label)
+    if settled is not None:
+        done = settled.join(labels, "key", "left").select("bucket", label.alias("label")).distinct()
+        named = named.join(done, ["bucket", "label"], "left_anti")
+    best = named.groupBy("bucket", "label").agg(F.max(F.struct("score", "key")).alias("top"))
+    # Two components or more: the smallest and the largest label differ.
+    crowded = best.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    return best.join(crowded, "bucket").select("bucket", "top.key", "top.score")
+
+
+def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
+    """`bucket`, `key`: the k-mers of every text (`key`, `text`) among which a similar text must have one too.
+
+    K-mers are in one order for all texts, frequent ones last. Of `n` k-mers two texts over the threshold share at least
+    `threshold * n`, so not all of the first `n - threshold * n + 1` are missing in the other.
+    """
+
+    def expand(it: Iterator[pa.RecordBatch], frequent: dict[int, int] | None) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in it:
+            flat: list[np.ndarray] = []
+            for text in batch.column(1):
+                labels = labelled(kmers(text.as_py(), memo))
+                if frequent is not None:
+                    often = np.array([frequent.get(x, 0) for x in labels.tolist()], np.int64)
+                    n = len(labels) - int(np.ceil(threshold * len(labels) - 1e-9)) + 1
+                    labels = labels[np.lexsort((labels, often))[:n]]
+                flat.append(labels.view(np.int64))
+            sizes = [len(f) for f in flat]
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(flat)), sizes)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)), keys], ["bucket", "key"])
+
+    chosen = texts.orderBy(F.xxhash64("key"), "key").limit(SAMPLED_TEXTS).select("key", "text")
+    sampled = chosen.mapInArrow(functools.partial(expand, frequent=None), "bucket long, key binary")
+    counts = sampled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    top = counts.orderBy(F.desc("n"), "bucket").limit(FREQUENT).collect()
+    frequent = {r["bucket"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in top}
+    return texts.select("key", "text").mapInArrow(functools.partial(expand, frequent=frequent), "bucket long, key binary")
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
