@@ -61,9 +61,10 @@ def parse(formatted: Column) -> Column:
         return F.struct(role.alias("role"), text.alias("text"))
 
     pieces = F.split(formatted, END_PATTERN, -1)
-    # What follows the last end mark must be empty; otherwise it counts as a piece that is no turn.
-    whole = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
-    return F.transform(whole, turn)
+    turns = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn)
+    # What follows the last end mark must be empty; otherwise it is a turn that was not ended.
+    none = F.array(F.struct(F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text")))
+    return F.when(F.element_at(pieces, -1) == "", turns).otherwise(F.concat(turns, none))
 
 
 def rendered_turn(role: Column, text: Column) -> Column:

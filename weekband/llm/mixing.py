@@ -32,6 +32,11 @@ NO_SOURCE = "-"
 SLICES = 256
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles that does not depend on the order of the rows: in whole billionths."""
+    return (F.sum(F.round(value * F.lit(1e9)).cast("decimal(38,0)")) / F.lit(1e9)).cast("double")
+
+
 def water_fill(totals: DataFrame, cap: float) -> DataFrame:
     """`target` per source: shares of the sum of `size` by `weight`, at most `cap` times its own size.
 
@@ -79,7 +84,7 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: float, tolerance: float,
     """
     positive = sizes.where("size > 0")
     words = F.col("size") * F.col("n")
-    scale = positive.groupBy("key").agg((F.sum(words * F.col("size")) / F.sum(words)).alias("scale"))
+    scale = positive.groupBy("key").agg((exact_sum(words.cast("double") * F.col("size")) / F.sum(words)).alias("scale"))
     closed = (F.col("target") <= 0) | (F.col("target") >= F.lit(cap) * F.col("size") * (1 - 1e-12))
     state = materialize(
         targets.join(scale, "key", "left").select(
@@ -105,7 +110,7 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: float, tolerance: float,
         sums = (
             rows.join(open_sources, "key")
             .groupBy("key")
-            .agg(F.sum(words * rate).alias("got"), F.sum(slope).alias("slope"))
+            .agg(exact_sum(words * rate).alias("got"), exact_sum(slope).alias("slope"))
         )
         off = F.col("got") - F.col("target")
         low = F.when(off < 0, F.col("m")).otherwise(F.col("lo"))
@@ -115,7 +120,7 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: float, tolerance: float,
         bounded = F.least(F.greatest(newton, F.col("m") - reach), F.col("m") + reach)
         middle = (low + high) / 2
         inside = (bounded > low) & (bounded < high)
-        met = F.abs(off) <= F.lit(tolerance) * F.col("target")
+        met = F.abs(off) <= F.lit(tolerance) * F.col("target") + 1e-6
         step = F.when(met, F.col("m")).when(inside, bounded).when(F.abs(middle) < math.inf, middle).otherwise(bounded)
         state = materialize(
             state.join(sums, "key", "left").select(
@@ -167,7 +172,7 @@ def rounded_by_level(rated: DataFrame, cap: float, levels: int = 4, factor: int
         here = materialize(here.withColumn("owed", F.sum(all_copies).over(by_size) - all_copies))
         done = here if done is None else done.unionByName(here)
         copies = F.floor(F.col("owed") + all_copies + 0.5) - F.floor(F.col("owed") + 0.5)
-        carry = done.groupBy("key").agg(F.sum((F.col("rate") * F.col("n") - copies) * F.col("size")).alias("_carry"))
+        carry = done.groupBy("key").agg(exact_sum((F.col("rate") * F.col("n") - copies) * F.col("size")).alias("_carry"))
     return done.select("key", "size", "source_size", "target", F.col("used").alias("rate"), "owed")
 
 
