@@ -22,10 +22,12 @@ tokens; an empty table gives empty files; other columns are ignored. Texts are e
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +45,10 @@ MAX_BITS = 18
 STRIDE = 256
 BLOCK_TOKENS = 1 << 17
 CACHE_WORDS = 400_000
-#: White space next to a space; elsewhere a single space always begins a new piece of the tokenizer.
-UNSAFE = re.compile(r"\s | \s|^ | $")
+#: White space other than a space and a line feed, in any alphabet.
+OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+OUTER = (" ", "\n")
+#: A single space between two other signs always begins a new piece of the tokenizer.
 SAFE_SPACE = re.compile(r"(?<!\s) (?!\s)")
 
 
@@ -52,7 +56,7 @@ class WordEncoder:
     """Ids of texts, with a bounded memory of pieces already encoded.
 
     A byte-level tokenizer of this family never merges across a single space between two other signs, so the ids of a
-    text are those of its pieces, each with its leading space.
+    text are those of its pieces, each with its leading space. Pieces not used since the memory was last full are forgotten.
     """
 
     def __init__(self, path: str):
@@ -62,26 +66,67 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
+        # A line feed before a space is a piece of its own and one id, which no piece without white space contains.
+        (self.line_feed,) = self.tool.encode("\n", add_special_tokens=False).ids
+        self.feed = array("H", [self.line_feed]).tobytes()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @classmethod
+    def of_process(cls, path: str) -> WordEncoder:
+        """The one encoder of this worker process for `path`; its memory serves all tasks that run here."""
+        kept = sys.__dict__.setdefault("_word_encoders", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Little-endian 16-bit ids of every text with `end` after it."""
-        split = [self.pieces(t) if t else [] for t in texts]
-        new = list({p for pieces in split for p in pieces}.difference(self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list({p for pieces in split for p in pieces})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, got in zip(part, self.tool.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.array(got.ids, "<u2").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) + end for pieces in split]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        split = [self.pieces(t or "") for t in texts]
+        heads = self.tool.encode_batch_fast([p[0] for p in split], add_special_tokens=False)
+        known, older = self.known, self.older
+        fresh = set(itertools.chain.from_iterable(split)).difference(known)
+        known.update({w: older[w] for w in fresh.intersection(older)})
+        self.learn(fresh.difference(older))
+        get = known.__getitem__
+        return [
+            array("H", head.ids).tobytes() + b"".join(map(get, itertools.islice(words, 1, None))) + end
+            for head, words in zip(heads, split)
+        ]
+
+    def learn(self, words: set[str]) -> None:
+        """Add words to the memory, a thousand at a time with line feeds between them; those with other white space one by one."""
+        strange = OTHER_SPACE.search("".join(words)) is not None
+        rest = {w for w in words if not w or "\n" in w[1:] or strange and OTHER_SPACE.search(w)}
+        words = words - rest
+        starts = [w for w in words if w[0] == "\n"]
+        self.learn_joined(starts, "", [w[1:] for w in starts], self.feed)
+        inner = [w for w in words if w[0] != "\n"]
+        self.learn_joined(inner, " ", inner, b"")
+        odd = list(rest)
+        for word, one in zip(odd, self.tool.encode_batch_fast([" " + w for w in odd], add_special_tokens=False)):
+            self.known[word] = array("H", one.ids).tobytes()
+
+    def learn_joined(self, words: list[str], before: str, texts: list[str], prefix: bytes) -> None:
+        glue = "\n" + before
+        for at in range(0, len(words), 1000):
+            joined = before + glue.join(texts[at : at + 1000]) + "\n"
+            ids = np.array(self.tool.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u2")
+            ends = np.flatnonzero(ids == self.line_feed)
+            raw, cuts = ids.tobytes(), (2 * ends).tolist()
+            starts = [0, *(c + 2 for c in cuts[:-1])]
+            self.known.update(zip(words[at : at + 1000], [prefix + raw[a:b] for a, b in zip(starts, cuts)], strict=True))
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        parts = SAFE_SPACE.split(text) if UNSAFE.search(text) else text.split(" ")
-        return parts[:1] + [" " + p for p in parts[1:]]
+        """Where a piece begins at every single space and line feed: what stands between, line feeds with the word after
+        them. Elsewhere only spaces between other signs divide. All but the first piece follow a space or begin a line."""
+        odd = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in OUTER or text[-1:] in OUTER
+        if odd or OTHER_SPACE.search(text):
+            return SAFE_SPACE.split(text)
+        return text.replace("\n", " \n").split(" ")
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -91,7 +136,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        tool, pack = WordEncoder(tokenizer), zstandard.ZstdCompressor(level=1)
+        tool, pack = WordEncoder.of_process(tokenizer), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], "<u2").tobytes()
         for batch in it:
             for start in range(0, batch.num_rows, 256):
