@@ -68,10 +68,22 @@ def wide_with_bounds(
 
 
 def average_by_area_period(
-    rows: DataFrame, areas: DataFrame, periods: Sequence[str], area: str = "area_id", period: str = "period"
+    rows: DataFrame,
+    areas: DataFrame,
+    periods: Sequence[str],
+    area: str = "area_id",
+    period: str = "period",
+    extra: Sequence[str] = (),
 ) -> DataFrame:
-    """Every area and period with its average active week, 0 where it has no calls."""
-    averages = average_active_week(rows, [area, period])
+    """Every area and period with its average active week, 0 where it has no calls.
+
+    With `extra` (such as the type of call) there is one row for each of its values that the calls have.
+    """
+    averages = average_active_week(rows, [area, period, *extra])
     labels: Column = F.array(*(F.lit(p) for p in periods))
     frame = areas.withColumn(period, F.explode(labels))
-    return join_on_keys(frame, averages, [area, period], "left").fillna(0.0, ["avg_active_week"])
+    if extra:
+        # The values are categories; their list is a scalar next to every area.
+        values = averages.agg(F.collect_set(F.struct(*extra)).alias("v")).scalar()
+        frame = frame.withColumn("_v", F.explode(values)).select(*frame.columns, "_v.*")
+    return join_on_keys(frame, averages, [area, period, *extra], "left").fillna(0.0, ["avg_active_week"])

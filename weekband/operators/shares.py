@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,8 +41,11 @@ def yearly_change(
 ) -> DataFrame:
     """(year, n, change): weighted total and its relative change from the previous kept year."""
     total = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    # A range of dates reaches the scan; the years themselves do not.
+    first, last = dt.date(min(years), 1, 1), dt.date(max(years) + 1, 1, 1)
+    inside = (F.col(ts) >= F.lit(first)) & (F.col(ts) < F.lit(last))
     yearly = (
-        calls.groupBy(year_of(F.col(ts)).alias("year"))
+        calls.where(inside).groupBy(year_of(F.col(ts)).alias("year"))
         .agg(total.alias("n"))
         .where(F.col("year").isin(list(years)))
     )

@@ -44,8 +44,8 @@ calls AS (
          l_suppkey AS area_id
   FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey
-  JOIN part ON l_partkey = p_partkey
-  JOIN customer ON o_custkey = c_custkey
+  LEFT JOIN part ON l_partkey = p_partkey
+  LEFT JOIN customer ON o_custkey = c_custkey
 )"""
 
 RARE = """
@@ -684,7 +684,7 @@ GROUP BY call_origin""",
     ),
     "yearly_weighted_change": """
 SELECT year, n, round((n - lag(n) OVER (ORDER BY year)) / (lag(n) OVER (ORDER BY year))::DOUBLE, 6) AS change
-FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders
+FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(sum(o_custkey % 7) AS BIGINT) AS n FROM orders
       WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) IN (1999, 2000) GROUP BY ALL)""",
     "dow_profile": _sql(EVENTS, _profile("dow"), select="SELECT * FROM profile"),
     "dow_profile_wide": _sql(EVENTS, _profile("dow"), select=_wide("dow", DAYS)),
@@ -780,6 +780,38 @@ WHERE log_n < q1 - 1.5 * (q3 - q1) OR log_n > q3 + 1.5 * (q3 - q1)""",
         "ranked AS (SELECT * FROM averages WHERE imd_decile IS NOT NULL)",
         select=_box("imd_decile, period", "avg_active_week", "ranked"),
     ),
+    "boxplot_by_decile_type": _sql(
+        CALLS,
+        AREAS,
+        """
+logged AS (
+  SELECT incident_type_new, imd_decile, log10(n) AS log_n
+  FROM (SELECT coalesce(type_group, incident_type) AS incident_type_new, area_id, count(*) AS n FROM calls GROUP BY ALL)
+  JOIN areas USING (area_id) WHERE imd_decile IS NOT NULL
+)""",
+        select=_box("incident_type_new, imd_decile", "log_n", "logged"),
+    ),
+    "boxplot_by_decile_period_type": _sql(
+        CALLS,
+        AREAS,
+        """
+typed AS (
+  SELECT area_id, coalesce(type_group, incident_type) AS incident_type_new, week,
+         CASE WHEN ts < TIMESTAMP '2000-01-31' THEN 'Pre-COVID' ELSE '2020' END AS period FROM calls
+),
+means AS (
+  SELECT area_id, incident_type_new, period, avg(n) AS m
+  FROM (SELECT area_id, incident_type_new, period, week, count(*) AS n FROM typed GROUP BY ALL) GROUP BY ALL
+),
+ranked AS (
+  SELECT imd_decile, f.incident_type_new, f.period, coalesce(m, 0) AS avg_active_week
+  FROM (SELECT area_id, imd_decile, incident_type_new, period FROM areas
+        CROSS JOIN (SELECT DISTINCT incident_type_new FROM typed) CROSS JOIN (VALUES ('Pre-COVID'), ('2020')) p(period)
+        WHERE imd_decile IS NOT NULL) f
+  LEFT JOIN means USING (area_id, incident_type_new, period)
+)""",
+        select=_box("incident_type_new, imd_decile, period", "avg_active_week", "ranked"),
+    ),
     "duration_density": _sql(
         CALLS,
         ATTENDED,

@@ -41,6 +41,7 @@ from weekband.sources.star_tables import STUDY
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+MERGED = "incident_type_new"
 TYPE_GROUPS = {
     "group a": ("Brand#1", "Brand#2"),
     "group b": ("Brand#3", "Brand#4", "Brand#5"),
@@ -116,11 +117,22 @@ def areas_of(spark: SparkSession, d: str) -> DataFrame:
     return materialize(star.areas(spark, d))
 
 
-def ends(spark: SparkSession, d: str) -> tuple[Column, Column]:
-    weeks = star.call_weeks(spark, d)
+def call_weeks(weekly: DataFrame) -> DataFrame:
+    """One row (lo, hi): first and last week of counted calls."""
+    return weekly.agg(F.min("week").alias("lo"), F.max("week").alias("hi"))
+
+
+def ends(weekly: DataFrame) -> tuple[Column, Column]:
+    weeks = call_weeks(weekly)
     return weeks.select("lo").scalar(), weeks.select("hi").scalar()
 
 
+def in_areas(counts: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Counts of listed areas only."""
+    listed = star.table(spark, d, "supplier").select(F.col("s_suppkey").alias(AREA))
+    return counts.join(listed, AREA, "left_semi")
+
+
 # Scans, literal tables, scalar functions
 
 
@@ -132,7 +144,7 @@ def key_dates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def week_grid(spark: SparkSession, d: str) -> DataFrame:
-    weeks = star.call_weeks(spark, d)
+    weeks = call_weeks(series.weekly_counts(star.calls(spark, d, [])))
     return weeks.select(F.explode(series.week_grid(F.col("lo"), F.col("hi"))).alias("week"))
 
 
@@ -241,8 +253,8 @@ def areas_without_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def area_week_panel(spark: SparkSession, d: str) -> DataFrame:
-    counts = series.weekly_counts(star.calls(spark, d, [AREA]), [AREA])
-    return area_ops.area_week_panel(counts, areas_of(spark, d), ends(spark, d))
+    counts = materialize(series.weekly_counts(star.calls(spark, d, [AREA]), [AREA]))
+    return area_ops.area_week_panel(counts, areas_of(spark, d), ends(counts))
 
 
 @query
@@ -259,7 +271,8 @@ def area_week_panels(spark: SparkSession, d: str) -> DataFrame:
     calls = star.calls(spark, d, [AREA, TYPE]).withColumn(
         "incident_type_new", merge_categories(F.col(TYPE), TYPE_GROUPS)
     )
-    panel = panels.area_week_panels(calls, areas_of(spark, d), ends(spark, d), by_panel)
+    weekly = materialize(series.weekly_counts(star.calls(spark, d, [])))
+    panel = panels.area_week_panels(calls, areas_of(spark, d), ends(weekly), by_panel)
     return panel.groupBy("panel", AREA, "imd_decile").agg(
         F.count(F.lit(1)).alias("weeks"),
         F.sum("n").alias("n"),
@@ -461,7 +474,7 @@ def origin_order(spark: SparkSession, d: str) -> DataFrame:
 @query
 def yearly_weighted_change(spark: SparkSession, d: str) -> DataFrame:
     urgent = star.table(spark, d, "orders").where(F.col("o_orderpriority") == "1-URGENT")
-    change = shares.yearly_change(urgent, [1999, 2000], "o_orderdate", F.lit(1).cast("bigint"))
+    change = shares.yearly_change(urgent, [1999, 2000], "o_orderdate", F.col("o_custkey") % 7)
     return rounded(change, 6, "change")
 
 
@@ -574,10 +587,10 @@ def calls_by_area_type(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gini_weekly(spark: SparkSession, d: str) -> DataFrame:
-    counts = series.weekly_counts(star.calls(spark, d, [AREA]), [AREA])
+    counts = materialize(series.weekly_counts(star.calls(spark, d, [AREA]), [AREA]))
     total = star.table(spark, d, "supplier").agg(F.count(F.lit(1))).scalar()
-    weekly = gini(ties(counts, ["week"]), ["week"], total)
-    return rounded(series.fill_weeks(weekly, [], {"gini": None}, span=ends(spark, d)), 6, "gini")
+    weekly = gini(ties(in_areas(counts, spark, d), ["week"]), ["week"], total)
+    return rounded(series.fill_weeks(weekly, [], {"gini": None}, span=ends(counts)), 6, "gini")
 
 
 @query
@@ -585,11 +598,11 @@ def gini_weekly_by_type(spark: SparkSession, d: str) -> DataFrame:
     calls = star.calls(spark, d, [AREA, TYPE]).withColumn(
         "incident_type_new", merge_categories(F.col(TYPE), TYPE_GROUPS)
     )
-    counts = series.weekly_counts(calls, ["incident_type_new", AREA])
+    counts = materialize(series.weekly_counts(calls, ["incident_type_new", AREA]))
     total = star.table(spark, d, "supplier").agg(F.count(F.lit(1))).scalar()
     keys = ["incident_type_new", "week"]
-    weekly = gini(ties(counts, keys), keys, total)
-    filled = series.fill_weeks(weekly, ["incident_type_new"], {"gini": None}, span=ends(spark, d))
+    weekly = gini(ties(in_areas(counts, spark, d), keys), keys, total)
+    filled = series.fill_weeks(weekly, ["incident_type_new"], {"gini": None}, span=ends(counts))
     return rounded(filled, 6, "gini")
 
 
@@ -618,6 +631,26 @@ def boxplot_by_decile_period(spark: SparkSession, d: str) -> DataFrame:
     return rounded(box, 9, "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
+@query
+def boxplot_by_decile_type(spark: SparkSession, d: str) -> DataFrame:
+    calls = star.calls(spark, d, [AREA, TYPE]).withColumn(MERGED, merge_categories(F.col(TYPE), TYPE_GROUPS))
+    counts = area_ops.with_area(area_ops.calls_by_area(calls, extra=[MERGED]), areas_of(spark, d))
+    logged = distribution.log10_positive(counts.where(F.col("imd_decile").isNotNull()), "n", "log_n")
+    box = distribution.boxplot(materialize(logged), [MERGED, "imd_decile"], "log_n", 0.01)
+    return rounded(box, 9, "q1", "median", "q3", "whisker_low", "whisker_high")
+
+
+@query
+def boxplot_by_decile_period_type(spark: SparkSession, d: str) -> DataFrame:
+    calls = star.calls(spark, d, [AREA, TYPE]).withColumn(MERGED, merge_categories(F.col(TYPE), TYPE_GROUPS))
+    label = period(F.col("incident_date_time"), STUDY.cutoff)
+    weekly = series.with_week(calls).withColumn("period", label)
+    ranked = areas_of(spark, d).where(F.col("imd_decile").isNotNull())
+    averages = profiles.average_by_area_period(weekly, ranked, [BEFORE, AFTER], extra=[MERGED])
+    box = distribution.boxplot(materialize(averages), [MERGED, "imd_decile", "period"], "avg_active_week", 0.25)
+    return rounded(box, 9, "q1", "median", "q3", "whisker_low", "whisker_high")
+
+
 @query
 def duration_density(spark: SparkSession, d: str) -> DataFrame:
     timed = distribution.log10_positive(with_response(star.calls(spark, d, RESPONSE)), "minutes", "y")
@@ -638,9 +671,8 @@ def duration_density_by_grade(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def decile_share_weekly(spark: SparkSession, d: str) -> DataFrame:
-    counts = series.weekly_counts(star.calls(spark, d, [AREA]), [AREA])
-    areas = areas_of(spark, d)
-    share = shares.area_adjusted_share(counts, areas, span=ends(spark, d))
+    counts = materialize(series.weekly_counts(star.calls(spark, d, [AREA]), [AREA]))
+    share = shares.area_adjusted_share(counts, areas_of(spark, d), span=ends(counts))
     return rounded(rounded(share, 9, "share"), 6, "calls_per_area")
 
 
@@ -649,10 +681,9 @@ def decile_share_weekly_by_type(spark: SparkSession, d: str) -> DataFrame:
     calls = star.calls(spark, d, [AREA, TYPE]).withColumn(
         "incident_type_new", merge_categories(F.col(TYPE), TYPE_GROUPS)
     )
-    counts = series.weekly_counts(calls, ["incident_type_new", AREA])
-    areas = areas_of(spark, d)
+    counts = materialize(series.weekly_counts(calls, ["incident_type_new", AREA]))
     share = shares.area_adjusted_share(
-        counts, areas, extra=["incident_type_new"], span=ends(spark, d), keep_null=False
+        counts, areas_of(spark, d), extra=["incident_type_new"], span=ends(counts), keep_null=False
     )
     return rounded(rounded(share, 9, "share"), 6, "calls_per_area")
 
@@ -722,18 +753,19 @@ def area_z_scores(spark: SparkSession, d: str) -> DataFrame:
 # Forecasts
 
 
-def model_series(weekly: DataFrame, key: str, spark: SparkSession, d: str) -> DataFrame:
+def model_series(weekly: DataFrame, key: str) -> DataFrame:
     """Trimmed and filled weekly counts, made durable for fit and comparison."""
-    trimmed = series.trim_edges(weekly, [key], span=ends(spark, d))
+    weekly = materialize(weekly)
+    trimmed = series.trim_edges(weekly, [key], span=ends(weekly))
     return materialize(series.fill_weeks(trimmed, [key], {"n": 0}))
 
 
 def grade_series(spark: SparkSession, d: str) -> DataFrame:
-    return model_series(series.weekly_counts(star.calls(spark, d, [GRADE]), [GRADE]), GRADE, spark, d)
+    return model_series(series.weekly_counts(star.calls(spark, d, [GRADE]), [GRADE]), GRADE)
 
 
 def type_series(spark: SparkSession, d: str) -> DataFrame:
-    return model_series(weekly_types(spark, d), "incident_type_new", spark, d)
+    return model_series(weekly_types(spark, d), "incident_type_new")
 
 
 _BAND = ("actual", "mean", "lower", "upper")
@@ -803,7 +835,7 @@ def product_inputs(spark: SparkSession, d: str) -> dict:
     return {
         "calls": calls,
         "areas": levels.select(AREA, "dep_level"),
-        "span": star.call_weeks(spark, d),
+        "span": materialize(call_weeks(series.weekly_counts(star.calls(spark, d, [])))),
         "study": STUDY,
         "products": products.all_products(NAMES),
         "recode": products.Recode(TYPE_GROUPS, RARE_TYPES_BELOW, ORIGIN_GROUPS, UNKNOWN_ORIGINS),
