@@ -44,7 +44,7 @@ BANDS = 32
 VALUES = 2 * BANDS
 MIN_AGREE = 22
 #: Leaders per bucket in the first round of the exact search; each later round has this many times more.
-SLICES = 16
+SLICES = 64
 #: Bounds of the list of frequent k-mers: texts looked at, and k-mers kept. It makes the exact search faster and changes no result.
 SAMPLED_TEXTS, FREQUENT = 2000, 100_000
 CACHE_WORDS = 500_000
@@ -134,7 +134,7 @@ class OrderMinHash:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """`doc_id`, `key` (digest of the text) and `bands` (empty without words) of every document; a narrow step."""
+    """`doc_id`, `key` (digest of the text), `n` k-mers and `bands` (empty without words) of every document; a narrow step."""
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -142,17 +142,19 @@ def sketches(docs: DataFrame) -> DataFrame:
         memo, tool = WordHashes(), OrderMinHash()
         for batch in it:
             flat: list[np.ndarray] = []
-            ends = [0]
+            ends, sizes = [0], []
             for text in batch.column(2):
                 code = kmers(text.as_py(), memo)
+                sizes.append(len(code))
                 if len(code):
                     flat.append(tool.bands(code))
                 ends.append(ends[-1] + (BANDS if len(code) else 0))
             values = np.concatenate(flat) if flat else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "key", "bands"])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "bands"])
 
-    return keyed.mapInArrow(batches, f"doc_id {kind}, key binary, bands array<long>")
+    return keyed.mapInArrow(batches, f"doc_id {kind}, key binary, n long, bands array<long>")
 
 
 def text_key(text: Column) -> Column:
@@ -258,7 +260,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Verified `a`, `b` between keys of `nodes` (`key`, `doc_id`, `bands`)."""
+    """Verified `a`, `b` between keys of `nodes` (`key`, `doc_id`, `n`, `bands`)."""
     spread = nodes.select("key", F.posexplode("bands").alias("band", "value")).select(
         "key", F.xxhash64("band", "value").alias("bucket")
     )
@@ -274,12 +276,11 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
         .agg(F.first("text").alias("text"))
         .select("key", "text")
     )
-    bands, scores = wanted.select("key", "bands"), wanted.select("key", "score")
+    sketch, scores = wanted.select("key", "n", "bands"), wanted.select("key", "score")
     empty = docs.sparkSession.createDataFrame([], "a binary, b binary")
 
-    first = with_leaders(members.select("bucket", "key").join(scores, "key"), 1, 0)
-    tested, found = compare(first, empty, bands, texts, threshold)
-    labels = components(found)
+    _, tested, found = compare(members.select("bucket", "key").join(scores, "key"), 1, 0, empty, sketch, texts, threshold)
+    labels = materialize(components(found))
     named = members.select("bucket", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", F.col("key")))
     mixed_up = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     doubtful = materialize(members.join(mixed_up, "bucket", "left_semi").select("key").distinct())
@@ -289,45 +290,41 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     pending = materialize(one_per_component(rare.join(scores, "key"), labels))
     slices, at = SLICES, 1
     while not pending.isEmpty():
-        led = materialize(with_leaders(pending, slices, at))
-        pairs, new = compare(led, tested, bands, texts, threshold)
-        tested, found = tested.unionByName(pairs), found.unionByName(new)
-        labels = components(found)
-        settled = led.select("bucket", F.col("leader").alias("key")).distinct()
+        leaders, likely, new = compare(pending, slices, at, tested, sketch, texts, threshold)
+        if not new.isEmpty():
+            tested, found = tested.unionByName(likely), found.unionByName(new)
+            labels = components(found)
+        settled = leaders.withColumnRenamed("leader", "key")
         pending = materialize(one_per_component(pending, labels, settled))
         slices, at = slices * SLICES, at + 1
     return found
 
 
-def with_leaders(members: DataFrame, slices: int, at: int) -> DataFrame:
-    """`bucket`, `key`, `leader`: every member with every leader of its bucket; one leader in each slice, by `score`."""
-    part = F.pmod(F.xxhash64("key", F.lit(at)), F.lit(slices))
-    leaders = members.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("score", "key")).alias("top"))
-    chosen = leaders.select("bucket", F.col("top.key").alias("leader"))
-    return members.select("bucket", "key").join(chosen, "bucket")
-
-
 def compare(
-    led: DataFrame, tested: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float
-) -> tuple[DataFrame, DataFrame]:
-    """The pairs (`a`, `b`) of members and leaders not tested before, and those of them that are linked."""
-    pairs = (
-        led.where("key <> leader")
-        .select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b"))
-        .distinct()
-        .join(tested, ["a", "b"], "left_anti")
-    )
-    pairs = materialize(pairs)
-    likely = (
-        pairs.join(bands.withColumnsRenamed({"key": "a", "bands": "a_bands"}), "a")
-        .join(bands.withColumnsRenamed({"key": "b", "bands": "b_bands"}), "b")
-        .where(agreement(F.col("a_bands"), F.col("b_bands")) >= MIN_AGREE)
-        .select("a", "b")
+    members: DataFrame, slices: int, at: int, tested: DataFrame, sketch: DataFrame, texts: DataFrame, threshold: float
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The leaders (`bucket`, `leader`), the likely pairs (`a`, `b`) not tested before, and those that are linked.
+
+    `members` has `bucket`, `key`, `score`. Each slice of a bucket has one leader, by score, and every member meets every
+    leader of its bucket. Sizes too different, or too few equal values of the sketch (`n`, `bands`), end a pair in
+    the join itself.
+    """
+    part = F.pmod(F.xxhash64("key", F.lit(at)), F.lit(slices))
+    best = members.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("score", "key")).alias("top"))
+    leaders = materialize(best.select("bucket", F.col("top.key").alias("leader")))
+    own = members.select("bucket", "key").join(sketch, "key")
+    lead = leaders.withColumnRenamed("bucket", "l_bucket").join(
+        sketch.withColumnsRenamed({"key": "leader", "n": "l_n", "bands": "l_bands"}), "leader"
     )
+    near = F.least("n", "l_n") >= F.lit(threshold) * F.greatest("n", "l_n")
+    alike = agreement(F.col("bands"), F.col("l_bands")) >= MIN_AGREE
+    met = own.join(lead, (F.col("bucket") == F.col("l_bucket")) & (F.col("key") != F.col("leader")) & near & alike)
+    pairs = met.select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct()
+    likely = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
     both = likely.join(texts.withColumnsRenamed({"key": "a", "text": "a_text"}), "a").join(
         texts.withColumnsRenamed({"key": "b", "text": "b_text"}), "b"
     )
-    return pairs, materialize(verified(both, threshold))
+    return leaders, likely, materialize(verified(both, threshold))
 
 
 def one_per_component(members: DataFrame, labels: DataFrame, settled: DataFrame | None = None) -> DataFrame:
@@ -383,9 +380,9 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     rows = materialize(sketches(docs))
     nodes = materialize(
-        rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+        rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     )
-    found = links(docs, nodes.where(F.size("bands") > 0).select("key", "doc_id", "bands"), threshold)
+    found = links(docs, nodes.where("n > 0").select("key", "doc_id", "n", "bands"), threshold)
     joined = nodes.select("key", "doc_id", "copies").join(components(found), "key", "left")
     member = materialize(joined.withColumn("label", F.coalesce("label", F.col("key"))))
     per_class = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
