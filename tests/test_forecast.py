@@ -154,3 +154,16 @@ def test_smoother_reproduces_a_quadratic(spark):
     assert out.where("abs(smoothed - y) > 1e-6 OR smoothed IS NULL").count() == 0
     few = smoothing.smooth(series_of(spark, data[:5]), ["k"], "y", 0.2)
     assert few.where("smoothed IS NOT NULL").count() == 0
+
+
+def test_band_widens_when_a_key_ends_early():
+    """A random walk that ended 20 weeks before the horizon is as uncertain there as 20 weeks ahead."""
+    from weekband.operators.arima import regression_forecast
+
+    draw = np.random.default_rng(4)
+    t = np.arange(200.0)
+    y, none = np.cumsum(draw.normal(0, 2, 200)), np.zeros((200, 2))
+    now = regression_forecast(t, y, none, np.arange(200.0, 230.0), np.zeros((30, 2)), True)
+    late = regression_forecast(t, y, none, np.arange(220.0, 230.0), np.zeros((10, 2)), True)
+    assert late.sd[0] == pytest.approx(now.sd[20]) and late.sd[0] > 2 * now.sd[0]
+    assert len(late.mean) == 10

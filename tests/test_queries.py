@@ -15,7 +15,6 @@ from weekband.plans.products import Names, all_products
 
 QUERIES, ORACLE = q.QUERIES, TWINS
 WITHOUT_TWIN = {
-    "moran_p_values",
     "forecast_harmonic_band",
     "forecast_arima_band",
     "arima_fitted",

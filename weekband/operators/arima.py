@@ -132,7 +132,10 @@ def regression_forecast(
 ) -> Forecast | None:
     """Fit on weeks `t` (consecutive; NaN where unknown), forecast weeks `t_new` that follow.
 
-    Without `arma` the errors are taken as independent. Returns None if there is too little data.
+    The forecast starts from the last training week. If the series ended some weeks before `t_new`, those weeks
+    are forecast as well and left out, so that the band is as wide as the distance asks for. Without `arma` the
+    errors are taken as independent. Returns None if there is too little data. A week that is unknown inside the
+    series counts as one on the regression line, an approximation that is good while such weeks are few.
     """
     observed = ~np.isnan(y)
     x_all = design_matrix(t, dummies, pairs)
@@ -168,14 +171,16 @@ def regression_forecast(
     _, ar, ma, cost, m, extra = best
     sigma2 = cost / max(m - k - extra, 1)
     shocks = innovations(series, ar, ma)
-    horizon = len(t_new)
+    gap = max(int(round(t_new[0] - t[-1])) - 1, 0) if len(t_new) else 0
+    horizon = gap + len(t_new)
     ahead = _continue(series, shocks, ar, ma, horizon)
     psi = psi_weights(ar, ma, horizon)
     if d:
         ahead, psi = rest[-1] + np.cumsum(ahead), np.cumsum(psi)
     one_step = series - shocks
     explained = np.concatenate([[0.0], rest[:-1] + one_step]) if d else one_step
-    return Forecast(trend_out + ahead, np.sqrt(sigma2 * np.cumsum(psi**2)), trend_in + explained)
+    spread = np.sqrt(sigma2 * np.cumsum(psi**2))
+    return Forecast(trend_out + ahead[gap:], spread[gap:], trend_in + explained)
 
 
 def _continue(x: np.ndarray, shocks: np.ndarray, ar: np.ndarray, ma: np.ndarray, horizon: int) -> np.ndarray:

@@ -6,15 +6,9 @@ Values and neighbour lists are read several times: pass materialised tables.
 from __future__ import annotations
 
 import math
-import sys
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CRITICAL_Z = 1.959964
 
@@ -106,10 +100,32 @@ def moran_local(lagged: DataFrame, value: str, conditional: bool = True) -> Data
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def upper_tail(z: pd.Series) -> pd.Series:
-    """Probability that a standard normal exceeds z."""
-    return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2.0)), na_action="ignore").astype(float)
+# Coefficients of the rational approximation of the normal tail, highest power first, and its bound.
+TAIL_UP = (
+    3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383,
+    112.079291497871, 221.213596169931, 220.206867912376,
+)
+TAIL_DOWN = (
+    8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461,
+    296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752,
+)
+TAIL_BOUND = 7.07106781186547
+
+
+def upper_tail(z: Column) -> Column:
+    """Probability that a standard normal exceeds z: a ratio of polynomials, beyond the bound a continued fraction."""
+    size = F.abs(z)
+    up, down = F.lit(0.0), F.lit(0.0)
+    for factor in TAIL_UP:
+        up = up * size + F.lit(factor)
+    for factor in TAIL_DOWN:
+        down = down * size + F.lit(factor)
+    far = size + 0.65
+    for k in (4, 3, 2, 1):
+        far = size + F.lit(float(k)) / far
+    ratio = F.when(size < TAIL_BOUND, up / down).otherwise(1 / (far * F.lit(math.sqrt(2 * math.pi))))
+    beyond = F.exp(-size * size / 2) * ratio
+    return F.when(z >= 0, beyond).otherwise(1 - beyond)
 
 
 def with_p_value(local: DataFrame, alternative: str = "two.sided") -> DataFrame:

@@ -857,6 +857,26 @@ SELECT count(*) AS n, round(sum(z * lag_z) / sum(z * z), 6) AS moran_i,
     "moran_local": _sql(MORAN, select=_local("cond")),
     "moran_local_total": _sql(MORAN, select=_local("total")),
     "moran_quadrants": _sql(MORAN, select=QUADRANT),
+    "moran_p_values": _sql(
+        MORAN,
+        """
+scored AS (
+  SELECT *, abs((local_i - e_cond) / nullif(sqrt(v_cond), 0)) AS size FROM local
+),
+tested AS (
+  SELECT *, 2 * exp(-size * size / 2)
+    * ((((((3.52624965998911e-02 * size + 0.700383064443688e0) * size + 6.37396220353165e0) * size + 33.912866078383e0)
+        * size + 112.079291497871e0) * size + 221.213596169931e0) * size + 220.206867912376e0)
+    / (((((((8.83883476483184e-02 * size + 1.75566716318264e0) * size + 16.064177579207e0) * size + 86.7807322029461e0)
+        * size + 296.564248779674e0) * size + 637.333633378831e0) * size + 793.826512519948e0) * size + 440.413735824752e0) AS p
+  FROM scored
+)""",
+        select="""
+SELECT area_id, round(p, 6) AS p_value,
+       CASE WHEN p IS NULL OR p > 0.05 THEN 'non-significant'
+            WHEN z > 0 AND lag_z > 0 THEN 'high-high' WHEN z > 0 THEN 'high-low'
+            WHEN lag_z > 0 THEN 'low-high' ELSE 'low-low' END AS quadrant FROM tested""",
+    ),
     "area_z_scores": _sql(
         MORAN, select="SELECT area_id, n, round((n - avg(n) OVER ()) / stddev_samp(n) OVER (), 6) AS z FROM vals"
     ),
