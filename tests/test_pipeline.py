@@ -94,3 +94,22 @@ def test_layer_keeps_areas_without_deprivation(spark):
     listed = spark.createDataFrame([("a",), ("b",), ("d",)], "area_id string")
     built = pipeline.build_layer(boundary, layer, sheet, 2.0, listed)
     assert rows(built, "area_id", "imd_rank") == [("a", 5), ("b", None)]
+
+
+def test_trim_modes_of_products(spark):
+    """Three keys over four weeks: each mode leaves its own rows."""
+    import datetime as dt
+
+    from weekband.plans.products import Product, trimmed
+
+    weeks = [dt.date(2020, 1, 6) + dt.timedelta(7 * i) for i in range(4)]
+    rows_in = [(m, "k", key, w, 1.0) for m in "abcd" for key in "xyz" for w in weeks]
+    table = spark.createDataFrame(rows_in, "metric string, key_name string, key_value string, week date, value double")
+    span = spark.createDataFrame([(weeks[0], weeks[-1])], "lo date, hi date")
+    modes = dict(a="edge_weeks", b="none", c="table_rows", d="group_rows")
+    chosen = [Product(m, "count", trim=mode) for m, mode in modes.items()]
+    left = {(r["metric"], r["key_value"], r["week"]) for r in trimmed(table, span, chosen).collect()}
+    expected = {(m, key, w) for m in "abcd" for key in "xyz" for w in weeks}
+    expected -= {("a", key, w) for key in "xyz" for w in (weeks[0], weeks[-1])}
+    expected -= {("c", "x", weeks[0]), ("c", "z", weeks[-1])} | {("d", key, w) for key in "xz" for w in weeks}
+    assert left == expected

@@ -26,7 +26,7 @@ from weekband.operators.common import any_of, join_on_keys
 from weekband.operators.concentration import gini, ties
 from weekband.operators.forecast import forecast_band
 from weekband.operators.quantiles import median
-from weekband.operators.series import fill_weeks, percent, with_week
+from weekband.operators.series import fill_weeks, percent, trim_edges, with_week
 from weekband.operators.shares import share_of_total
 from weekband.schema import Study
 from weekband.session import materialize
@@ -51,6 +51,8 @@ class Product:
     types: tuple[str, ...] = ()
     grades: tuple[str, ...] = ()
     fill: float | None = 0.0
+    #: How incomplete weeks are dropped: a mode of `trim_edges`, or `none`.
+    trim: str = "edge_weeks"
 
     def covers(self) -> Column:
         conditions = [F.lit(True)]
@@ -300,12 +302,33 @@ def share_series(tied: DataFrame, products: Sequence[Product]) -> DataFrame:
     )
 
 
+def trimmed(series: DataFrame, span: DataFrame, products: Sequence[Product]) -> DataFrame:
+    """Each product without its incomplete weeks. Only the modes that slice rows need a pass of their own per product."""
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    by_mode: dict[str, list[str]] = {}
+    for p in products:
+        by_mode.setdefault(p.trim, []).append(p.metric)
+    if set(by_mode) - {"edge_weeks", "none"}:
+        series = materialize(series)
+    parts = []
+    for mode, metrics in by_mode.items():
+        if mode == "none":
+            parts.append(series.where(F.col("metric").isin(metrics)))
+        elif mode == "edge_weeks":
+            chosen = series.where(F.col("metric").isin(metrics))
+            parts.append(trim_edges(chosen, SERIES_KEYS, span=(lo, hi)))
+        else:
+            parts += [trim_edges(series.where(F.col("metric") == m), ["key_value"], mode) for m in metrics]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def product_series(
     calls: DataFrame,
     areas: DataFrame,
     span: DataFrame,
     products: Sequence[Product],
     recode: Recode = Recode(),
+    negative_scene: bool = False,
 ) -> DataFrame:
     """All series in one table (metric, key_name, key_value, week, value), trimmed and filled.
 
@@ -318,14 +341,12 @@ def product_series(
     if _pick(products, "count", "attended"):
         parts.append(volume_series(cube, rare, products, recode))
     if _pick(products, "response", "scene"):
-        parts.append(duration_series(calls, rare, products, recode))
+        parts.append(duration_series(calls, rare, products, recode, negative_scene))
     if _pick(products, "gini", "share"):
         tied = materialize(area_ties(calls, rare, areas, products, recode))
         parts += [gini_series(tied, areas, span, products), share_series(tied, products)]
     series = reduce(DataFrame.unionByName, parts)
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    inner = series.where((F.col("week") > lo) & (F.col("week") < hi))
-    filled = fill_weeks(inner.withColumn("_real", F.lit(True)), SERIES_KEYS, {"value": None, "_real": False})
+    filled = fill_weeks(trimmed(series, span, products).withColumn("_real", F.lit(True)), SERIES_KEYS, {"value": None, "_real": False})
     zero = any_of([F.col("metric") == p.metric for p in products if p.fill is not None])
     value = F.when(zero & ~F.col("_real"), F.lit(0.0)).otherwise(F.col("value"))
     return filled.select(*SERIES_KEYS, "week", value.alias("value"))
@@ -340,9 +361,9 @@ def forecast_products(
     recode: Recode = Recode(),
     method: str = "arima",
     level: float = 95.0,
+    negative_scene: bool = False,
 ) -> DataFrame:
     """The long result table of all products: actual, band and flag per series and week."""
-    series = materialize(
-        product_series(calls, areas, span, all_products() if products is None else products, recode)
-    )
+    chosen = all_products() if products is None else products
+    series = materialize(product_series(calls, areas, span, chosen, recode, negative_scene))
     return forecast_band(series, SERIES_KEYS, "value", study, method, level)
