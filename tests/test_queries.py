@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from weekband.operators import quantiles
 from weekband.plans import queries as q
+from weekband.plans import roundtrips
 from weekband.plans.oracle import ORACLE as TWINS
 from weekband.plans.products import Names, all_products
 
-QUERIES, ORACLE = q.QUERIES, TWINS
+QUERIES, ORACLE = {**q.QUERIES, **roundtrips.QUERIES}, {**TWINS, **roundtrips.ORACLE}
 WITHOUT_TWIN = {
     "forecast_harmonic_band",
     "forecast_arima_band",
