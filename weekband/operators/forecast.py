@@ -9,7 +9,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ from weekband.schema import Study, monday
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-METHODS = ("trend_ols", "harmonic_ols", "arima")
+METHODS = ("trend_ols", "trend_ar1", "harmonic_ols", "arima")
 DUMMIES = ("new_system", "hmic_changes", "bank_holiday")
 
 
@@ -68,6 +68,37 @@ def trend_fitted(series: DataFrame, keys: Sequence[str], value: str, study: Stud
     )
 
 
+def trend_ar1(series: DataFrame, keys: Sequence[str], value: str, study: Study, level: float) -> DataFrame:
+    """(keys, week, mean, lower, upper): straight line with errors that follow the one of the week before.
+
+    The share that carries over is the slope of each error on the last; the band widens with the distance from the
+    last training week in closed form. One window per series, which is bounded by its weeks.
+    """
+    fitted = trend_fitted(series, keys, value, study).withColumn("_e", F.col(value) - F.col("fitted"))
+    before = F.lag("_e").over(Window.partitionBy(*keys).orderBy("week"))
+    sums = fitted.withColumn("_p", before).groupBy(*keys).agg(
+        F.regr_slope("_e", "_p").alias("phi"),
+        F.regr_syy("_e", "_p").alias("_syy"),
+        F.regr_sxy("_e", "_p").alias("_sxy"),
+        F.regr_count("_e", "_p").alias("_n"),
+        F.max_by("_e", "week").alias("_last"),
+        F.max("week").alias("_end"),
+    )
+    phi, square = F.col("phi"), F.col("phi") * F.col("phi")
+    sigma2 = F.greatest(F.col("_syy") - phi * F.col("_sxy"), F.lit(0.0)) / F.nullif(F.col("_n") - 2, F.lit(0))
+    h = F.date_diff("week", "_end") / F.lit(7)
+    grown = F.when(F.abs(1 - square) < 1e-9, h).otherwise((1 - F.pow(square, h)) / (1 - square))
+    half = F.lit(normal_quantile(level)) * F.sqrt(sigma2 * grown)
+    weeks = F.array(*(F.lit(w) for w in study.horizon_weeks()))
+    line = trend_coefficients(series, keys, value, study).select(*keys, "intercept", "slope")
+    return (
+        join_on_keys(sums, line, keys, "inner")
+        .withColumn("week", F.explode(weeks))
+        .withColumn("mean", _line(study) + F.pow(phi, h) * F.col("_last"))
+        .select(*keys, "week", "mean", (F.col("mean") - half).alias("lower"), (F.col("mean") + half).alias("upper"))
+    )
+
+
 def forecast(
     series: DataFrame,
     keys: Sequence[str],
@@ -78,7 +109,7 @@ def forecast(
 ) -> DataFrame:
     """(keys, week, mean, lower, upper) for every horizon week of every key with training weeks.
 
-    `trend_ols` is one aggregate. The other methods fit each series in a grouped function: its
+    `trend_ols` is one aggregate, `trend_ar1` adds a window. The other methods fit each series in a grouped function: its
     group is one series, so it is bounded by the number of weeks, and series are spread over
     tasks by key.
     """
@@ -97,6 +128,8 @@ def forecast(
                 (F.col("mean") + half).alias("upper"),
             )
         )
+    if method == "trend_ar1":
+        return trend_ar1(series, keys, value, study, level)
     fitted = _fit_groups(series, keys, value, study, method, level)
     return fitted.where("is_future").drop("is_future")
 

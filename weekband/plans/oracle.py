@@ -887,6 +887,35 @@ SELECT area_id, round(p, 6) AS p_value,
         CALLS, BY_GRADE, _band(GRADE, "2.5758293035489004"), select="SELECT * FROM rounded"
     ),
     "actual_vs_band": _sql(CALLS, BY_GRADE, _band(GRADE), select="SELECT * FROM rounded"),
+    "forecast_ar1_band": _sql(
+        CALLS,
+        BY_GRADE,
+        _band(GRADE, digits=4).replace("\nahead AS (", "\nstraight AS (", 1).replace(
+            "shown AS (",
+            """errors AS (
+  SELECT initial_grade_of_response, s.week, s.y - (intercept + slope * (date_diff('day', DATE '2000-01-31', s.week) / 7e0)) AS e
+  FROM series s JOIN line USING (initial_grade_of_response) WHERE s.week < DATE '2000-01-31'
+),
+lagged AS (
+  SELECT *, lag(e) OVER (PARTITION BY initial_grade_of_response ORDER BY week) AS p FROM errors
+),
+carried AS (
+  SELECT initial_grade_of_response, regr_slope(e, p) AS phi,
+         greatest(regr_syy(e, p) - regr_slope(e, p) * regr_sxy(e, p), 0) / nullif(regr_count(e, p) - 2, 0) AS sigma2,
+         max_by(e, week) AS last_e, max(week) AS last_week FROM lagged GROUP BY initial_grade_of_response
+),
+distant AS (
+  SELECT *, date_diff('day', last_week, week) / 7e0 AS h FROM straight JOIN carried USING (initial_grade_of_response)
+),
+ahead AS (
+  SELECT initial_grade_of_response, week, mean + power(phi, h) * last_e AS mean,
+         1.959963984540054 * sqrt(sigma2 * (1 - power(phi * phi, h)) / (1 - phi * phi)) AS half FROM distant
+),
+shown AS (""",
+            1,
+        ),
+        select="SELECT * FROM rounded",
+    ),
     "trend_fitted": _sql(
         CALLS,
         BY_GRADE,

@@ -808,6 +808,11 @@ def sig_weeks_by_key(spark: SparkSession, d: str) -> DataFrame:
     return fc.significant_weeks(band, ["incident_type_new"])
 
 
+@query
+def forecast_ar1_band(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_grade_band(spark, d, "trend_ar1"), 4, *_BAND)
+
+
 @query
 def forecast_harmonic_band(spark: SparkSession, d: str) -> DataFrame:
     return _grade_band(spark, d, "harmonic_ols")
