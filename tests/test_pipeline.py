@@ -75,6 +75,9 @@ def test_deprivation_report(spark, inputs):
     assert report["before_after"].count() == 6
     by_week = report["weekly_share"].groupBy("type", "week").agg(F.sum("share").alias("s"), F.count("*").alias("k"))
     assert by_week.where("k <> 4 OR (s IS NOT NULL AND abs(s - 1) > 1e-9)").count() == 0
+    by_type = report["totals_by_type"].collect()
+    assert {r["type"] for r in by_type} <= {"asb", "rtc"} and all(r["n"] <= 2 for r in by_type)
+    assert report["before_after_by_type"].count() == 12
     one_table = pipeline.deprivation_report(calls, areas, STUDY)["weekly_share"]
     known = calls.where("area_id <> 'area 6'")
     assert one_table.agg(F.sum("n")).first()[0] < known.count()

@@ -84,14 +84,16 @@ def store_forecasts(
     method: str = "arima",
     names: Names = Names(),
     recode: Recode = Recode(),
+    negative_scene: bool = False,
 ) -> None:
     """All forecast products in one table, a partition per metric."""
     ranked = materialize(areas.select("area_id", "imd_rank"))
     levels = materialize(area_ops.deprivation_terciles(ranked))
     band = forecast_products(
-        calls, levels, week_range(calls), study, all_products(names), recode, method
+        calls, levels, week_range(calls), study, all_products(names), recode, method, negative_scene=negative_scene
     )
-    write_results(band, path)
+    # One file per metric instead of one per task and metric.
+    write_results(band.repartition("metric"), path)
 
 
 def deprivation_report(
@@ -105,7 +107,7 @@ def deprivation_report(
 
     `totals` are box statistics of log10 calls per decile, `before_after` those of average
     active weeks per decile and period, `weekly_share` the share of each decile per area and week.
-    With `types`, `weekly_share` is split by their labels.
+    With `types`, `weekly_share` is split by their labels, and `totals_by_type` and `before_after_by_type` are there as well.
     """
     attributes = materialize(areas.select("area_id", "imd_decile"))
     known = area_ops.in_known_areas(series.with_week(calls), attributes)
@@ -128,13 +130,23 @@ def deprivation_report(
     weekly = counted.groupBy("area_id", *extra, "week").agg(F.sum("n").alias("n"))
     if extra:
         weekly = weekly.where(F.col("type").isNotNull())
-    return {
+    report = {
         "totals": distribution.boxplot(logged, ["imd_decile"], "log_n", 0.01),
         "before_after": distribution.boxplot(averages, ["imd_decile", "period"], "avg_active_week", 0.25),
         "weekly_share": shares.area_adjusted_share(
             weekly, attributes, extra=extra, span=_ends(week_range(calls))
         ),
     }
+    if extra:
+        typed = counted.where(F.col("type").isNotNull())
+        sums = typed.groupBy("area_id", "type").agg(F.sum("n").alias("n")).join(ranked, "area_id")
+        logged = materialize(distribution.log10_positive(sums, "n", "log_n"))
+        averages = materialize(profiles.average_by_area_period(typed, ranked, [BEFORE, AFTER], extra=extra))
+        report["totals_by_type"] = distribution.boxplot(logged, ["type", "imd_decile"], "log_n", 0.01)
+        report["before_after_by_type"] = distribution.boxplot(
+            averages, ["type", "imd_decile", "period"], "avg_active_week", 0.25
+        )
+    return report
 
 
 def main() -> None:
@@ -143,12 +155,14 @@ def main() -> None:
     parser.add_argument("--areas", required=True, help="Parquet layer with area_id, imd_rank, imd_decile")
     parser.add_argument("--out", required=True)
     parser.add_argument("--method", default="arima")
+    parser.add_argument("--negative-scene", action="store_true", help="keep negative times on scene")
     args = parser.parse_args()
     spark = build_session("weekband")
-    calls = canonical(read_calls(spark, args.calls))
+    # The CSV is read once; everything below reads columns of the copy.
+    calls = materialize(canonical(read_calls(spark, args.calls)))
     areas = spark.read.parquet(args.areas)
     store_panels(calls, areas, f"{args.out}/panels")
-    store_forecasts(calls, areas, Study(), f"{args.out}/forecasts", args.method)
+    store_forecasts(calls, areas, Study(), f"{args.out}/forecasts", args.method, negative_scene=args.negative_scene)
     merged = recode_types(calls)
     for name, table in deprivation_report(merged, areas, Study()).items():
         table.write.mode("overwrite").parquet(f"{args.out}/deprivation/{name}")
