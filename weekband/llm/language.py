@@ -26,6 +26,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weekband.session import materialize
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UNKNOWN = "und"
@@ -55,7 +57,8 @@ def sample(labelled: DataFrame, docs_per_language: int, chars_per_doc: int) -> D
     """
     rank = F.xxhash64("doc_id", F.lit("sample"))
     keyed = labelled.withColumn("_h", rank).withColumn("_slot", F.pmod(F.xxhash64("doc_id"), F.lit(docs_per_language)))
-    chosen = keyed.groupBy("lang", "_slot").agg(F.min("_h").alias("_h"))
+    # Written first: its size is then known, and small, so no text moves to meet it.
+    chosen = materialize(keyed.groupBy("lang", "_slot").agg(F.min("_h").alias("_h")))
     # One text per slot, even if a document id occurs often; only its first part moves.
     found = keyed.join(chosen, ["lang", "_slot", "_h"], "left_semi").withColumn("text", F.substring("text", 1, chars_per_doc))
     return found.groupBy("lang", "_slot").agg(F.min("text").alias("text"))
