@@ -260,7 +260,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Verified `a`, `b` between keys of `nodes` (`key`, `doc_id`, `n`, `bands`)."""
+    """`key`, `label`: components of similar keys of `nodes` (`key`, `doc_id`, `n`, `bands`), for keys that are linked."""
     spread = nodes.select("key", F.posexplode("bands").alias("band", "value")).select(
         "key", F.xxhash64("band", "value").alias("bucket")
     )
@@ -280,12 +280,12 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     empty = docs.sparkSession.createDataFrame([], "a binary, b binary")
 
     _, tested, found = compare(members.select("bucket", "key").join(scores, "key"), 1, 0, empty, sketch, texts, threshold)
-    labels = materialize(components(found))
+    labels = components(found)
     named = members.select("bucket", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", F.col("key")))
     mixed_up = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     doubtful = materialize(members.join(mixed_up, "bucket", "left_semi").select("key").distinct())
     if doubtful.isEmpty():
-        return found
+        return labels
     rare = prefixes(doubtful.join(texts, "key"), threshold)
     pending = materialize(one_per_component(rare.join(scores, "key"), labels))
     slices, at = SLICES, 1
@@ -297,7 +297,7 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
         settled = leaders.withColumnRenamed("leader", "key")
         pending = materialize(one_per_component(pending, labels, settled))
         slices, at = slices * SLICES, at + 1
-    return found
+    return labels
 
 
 def compare(
@@ -382,8 +382,8 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     nodes = materialize(
         rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     )
-    found = links(docs, nodes.where("n > 0").select("key", "doc_id", "n", "bands"), threshold)
-    joined = nodes.select("key", "doc_id", "copies").join(components(found), "key", "left")
+    labels = links(docs, nodes.where("n > 0").select("key", "doc_id", "n", "bands"), threshold)
+    joined = nodes.select("key", "doc_id", "copies").join(labels, "key", "left")
     member = materialize(joined.withColumn("label", F.coalesce("label", F.col("key"))))
     per_class = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = member.join(per_class, "label").select("key", "label", "class_id", "class_size")
