@@ -85,6 +85,44 @@ def test_near_duplicates_match_all_pairs(spark):
     assert all(r["class_size"] == sizes[r["class_id"]] for r in got)
 
 
+def quick_classes(docs):
+    """All pairs, those without enough k-mers in common left out at once."""
+    memo = near_dup.WordHashes()
+    codes = [near_dup.kmers(t, memo) for _, t in docs]
+    sets = [set(near_dup.labelled(c).tolist()) for c in codes]
+    parent = list(range(len(docs)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            x, y = sorted((root(i), root(j)))
+            enough = len(sets[i] & sets[j]) >= 0.8 / 1.8 * (len(codes[i]) + len(codes[j])) - 1e-9
+            if x != y and enough and near_dup.similarity(codes[i], codes[j], 0.8) >= 0.8:
+                parent[y] = x
+    return [root(i) for i in range(len(docs))]
+
+
+def test_near_duplicates_of_families_without_a_hub(spark):
+    """Each text is two words away from a base that is not there; classes hold together by single links."""
+    docs = []
+    for seed in (1, 2, 3):
+        draw = random.Random(seed)
+        base = [draw.choice(WORDS) for _ in range(120)]
+        for _ in range(500):
+            words = list(base)
+            for at in draw.sample(range(120), 2):
+                words[at] = f"{draw.choice(WORDS)}q{len(docs)}"
+            docs.append((len(docs), " ".join(words)))
+    got = near_dup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    expected = quick_classes(docs)
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(expected))
+    assert len(set(expected)) > 15
+
+
 def test_banded_alignment_equals_full_table():
     for _ in range(60):
         a = np.array([DRAW.randint(0, 30) for _ in range(DRAW.randint(1, 80))], np.uint64)

@@ -11,9 +11,11 @@ vocabulary. Two texts are linked if a banded alignment of their k-mer sequences
 * In a bucket nobody is compared with everybody. A leader, the member with the largest buckets, is compared with all
   other members, and what is linked becomes a component.
 * Where a bucket still has more than one component, which happens among texts that share a frequent passage, its texts go on to an exact search by
-  prefix filter: two similar texts share one of the rarest fifth of their k-mers, whatever order of rarity is used. There one member
-  of each component per k-mer is left, and leaders, in more slices each round, are compared until nobody is left.
-* A pair reaches the alignment only if at least 22 of its 64 values agree (at 0.8 fewer agree with a probability near 1e-5).
+  prefix filter: two similar texts share one of the rarest fifth of their k-mers, whatever order of rarity is used. There leaders, in
+  more slices each round, are compared with all members of other components. Only a leader leaves the bucket after that, never
+  what is linked to it, until one component is left: every pair of a bucket is linked, compared, or ruled out by sizes and places.
+* Among leaders of bands a pair reaches the alignment only if at least 22 of its 64 values agree (at 0.8 fewer agree with a probability near
+  1e-5); what this loses leaves the bucket mixed, and the exact search has no such bound.
 * Components come from smallest labels with pointer jumping. Tables between rounds lie in the shared folder.
 
 Defined results: a NULL text counts as empty; texts without words form classes of equal texts only; a class is named by
@@ -47,6 +49,7 @@ MIN_AGREE = 22
 SLICES = 64
 #: Bounds of the list of frequent k-mers: texts looked at, and k-mers kept. It makes the exact search faster and changes no result.
 SAMPLED_TEXTS, FREQUENT = 2000, 100_000
+PREFIX = "bucket long, key binary, n long, place long"
 CACHE_WORDS = 500_000
 #: ASCII signs that are neither letters nor digits become spaces.
 ONLY_WORDS = bytes(
@@ -287,19 +290,36 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     if doubtful.isEmpty():
         return labels
     rare = prefixes(doubtful.join(texts, "key"), threshold)
-    pending = materialize(one_per_component(rare.join(scores, "key"), labels))
+    pending = materialize(unsettled(rare.join(scores, "key"), labels))
     slices, at = SLICES, 1
     while not pending.isEmpty():
-        leaders, likely, new = compare(pending, slices, at, tested, sketch, texts, threshold)
+        leaders, likely, new = compare_rest(pending, slices, at, tested, texts, threshold)
+        tested = tested.unionByName(likely)
         if not new.isEmpty():
-            tested, found = tested.unionByName(likely), found.unionByName(new)
+            found = found.unionByName(new)
             labels = components(found)
-        settled = leaders.withColumnRenamed("leader", "key")
-        pending = materialize(one_per_component(pending, labels, settled))
+        pending = materialize(unsettled(pending, labels, leaders))
         slices, at = slices * SLICES, at + 1
     return labels
 
 
+def first_of_slices(members: DataFrame, slices: int, at: int) -> DataFrame:
+    """`bucket`, `leader`: in each slice of each bucket the member with the best score."""
+    part = F.pmod(F.xxhash64("key", F.lit(at)), F.lit(slices))
+    best = members.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("score", "key")).alias("top"))
+    return materialize(best.select("bucket", F.col("top.key").alias("leader")))
+
+
+def tested_now(met: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The pairs (`a`, `b`) of `met` (`key`, `leader`) not tested before, and those of them that are linked."""
+    pairs = met.select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct()
+    likely = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
+    both = likely.join(texts.withColumnsRenamed({"key": "a", "text": "a_text"}), "a").join(
+        texts.withColumnsRenamed({"key": "b", "text": "b_text"}), "b"
+    )
+    return likely, materialize(verified(both, threshold))
+
+
 def compare(
     members: DataFrame, slices: int, at: int, tested: DataFrame, sketch: DataFrame, texts: DataFrame, threshold: float
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -309,9 +329,7 @@ def compare(
     leader of its bucket. Sizes too different, or too few equal values of the sketch (`n`, `marks`), end a pair in
     the join itself.
     """
-    part = F.pmod(F.xxhash64("key", F.lit(at)), F.lit(slices))
-    best = members.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("score", "key")).alias("top"))
-    leaders = materialize(best.select("bucket", F.col("top.key").alias("leader")))
+    leaders = first_of_slices(members, slices, at)
     own = members.select("bucket", "key").join(sketch, "key")
     lead = leaders.withColumnRenamed("bucket", "l_bucket").join(
         sketch.withColumnsRenamed({"key": "leader", "n": "l_n", "marks": "l_marks"}), "leader"
@@ -319,32 +337,42 @@ def compare(
     near = F.least("n", "l_n") >= F.lit(threshold) * F.greatest("n", "l_n")
     alike = agreement(F.col("marks"), F.col("l_marks")) >= MIN_AGREE
     met = own.join(lead, (F.col("bucket") == F.col("l_bucket")) & (F.col("key") != F.col("leader")) & near & alike)
-    pairs = met.select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct()
-    likely = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-    both = likely.join(texts.withColumnsRenamed({"key": "a", "text": "a_text"}), "a").join(
-        texts.withColumnsRenamed({"key": "b", "text": "b_text"}), "b"
-    )
-    return leaders, likely, materialize(verified(both, threshold))
+    return leaders, *tested_now(met, tested, texts, threshold)
 
 
-def one_per_component(members: DataFrame, labels: DataFrame, settled: DataFrame | None = None) -> DataFrame:
-    """`bucket`, `key`, `score`: the best member of each component in buckets with two components or more.
+def compare_rest(
+    members: DataFrame, slices: int, at: int, tested: DataFrame, texts: DataFrame, threshold: float
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As `compare`, but only bounds without loss end a pair: one component, sizes too different, or too few k-mers after the place.
 
-    Leaders that are `settled` in a bucket, and whatever is linked to them, are left out.
+    `members` has `bucket`, `key`, `score`, `label`, `n`, `place`. In the first bucket that two texts share by place, no k-mer before is
+    common, so one more than the shorter rest bounds what they share. A similar pair is met in that bucket at the latest.
     """
-    label = F.coalesce("label", F.col("key"))
-    named = members.select("bucket", "key", "score").join(labels, "key", "left").withColumn("label", label)
-    if settled is not None:
-        done = settled.join(labels, "key", "left").select("bucket", label.alias("label")).distinct()
-        named = named.join(done, ["bucket", "label"], "left_anti")
-    best = named.groupBy("bucket", "label").agg(F.max(F.struct("score", "key")).alias("top"))
+    leaders = first_of_slices(members, slices, at)
+    own = members.select("bucket", "key", "label", "n", "place")
+    lead = own.withColumnsRenamed({"key": "leader", "label": "l_label", "n": "l_n", "place": "l_place"}).join(leaders, ["bucket", "leader"])
+    near = F.least("n", "l_n") >= F.lit(threshold) * F.greatest("n", "l_n")
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("l_n")) - 1e-9
+    enough = F.least(F.col("n") - F.col("place"), F.col("l_n") - F.col("l_place")) >= needed
+    met = own.join(lead, "bucket").where((F.col("label") != F.col("l_label")) & near & enough)
+    return leaders, *tested_now(met, tested, texts, threshold)
+
+
+def unsettled(members: DataFrame, labels: DataFrame, leaders: DataFrame | None = None) -> DataFrame:
+    """`members` without the `leaders` of their buckets, with `label`, in buckets of two components or more."""
+    left = members.select("bucket", "key", "score", "n", "place")
+    if leaders is not None:
+        left = left.join(leaders.withColumnRenamed("leader", "key"), ["bucket", "key"], "left_anti")
+    named = left.join(labels, "key", "left").withColumn("label", F.coalesce("label", F.col("key")))
     # Two components or more: the smallest and the largest label differ.
-    crowded = best.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    return best.join(crowded, "bucket").select("bucket", "top.key", "top.score")
+    mixed_up = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return named.join(mixed_up, "bucket", "left_semi")
 
 
 def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
-    """`bucket`, `key`: the k-mers of every text (`key`, `text`) among which a similar text must have one too.
+    """`bucket`, `key`, `n`, `place`: the k-mers of every text (`key`, `text`) among which a similar text must have one too.
+
+    `n` is the number of all k-mers of the text, `place` that of the k-mer in the order, from 0.
 
     K-mers are in one order for all texts, frequent ones last. Of `n` k-mers two texts over the threshold share at least
     `threshold * n`, so not all of the first `n - threshold * n + 1` are missing in the other.
@@ -354,8 +382,10 @@ def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
         memo = WordHashes()
         for batch in it:
             flat: list[np.ndarray] = []
+            whole: list[int] = []
             for text in batch.column(1):
                 labels = labelled(kmers(text.as_py(), memo))
+                whole.append(len(labels))
                 if frequent is not None:
                     often = np.array([frequent.get(x, 0) for x in labels.tolist()], np.int64)
                     n = len(labels) - int(np.ceil(threshold * len(labels) - 1e-9)) + 1
@@ -363,14 +393,17 @@ def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
                 flat.append(labels.view(np.int64))
             sizes = [len(f) for f in flat]
             keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(flat)), sizes)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)), keys], ["bucket", "key"])
+            buckets = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
+            n = pa.array(np.repeat(np.array(whole, np.int64), sizes))
+            place = pa.array(np.concatenate([np.arange(size) for size in sizes]) if sizes else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([buckets, keys, n, place], ["bucket", "key", "n", "place"])
 
     chosen = texts.orderBy(F.xxhash64("key"), "key").limit(SAMPLED_TEXTS).select("key", "text")
-    sampled = chosen.mapInArrow(functools.partial(expand, frequent=None), "bucket long, key binary")
+    sampled = chosen.mapInArrow(functools.partial(expand, frequent=None), PREFIX)
     counts = sampled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
     top = counts.orderBy(F.desc("n"), "bucket").limit(FREQUENT).collect()
     frequent = {r["bucket"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in top}
-    return texts.select("key", "text").mapInArrow(functools.partial(expand, frequent=frequent), "bucket long, key binary")
+    return texts.select("key", "text").mapInArrow(functools.partial(expand, frequent=frequent), PREFIX)
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
