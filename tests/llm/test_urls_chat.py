@@ -32,6 +32,18 @@ def test_rules_match_plain_python(spark):
     assert got == {i: judged(u) for i, u in enumerate(URLS)}
 
 
+def test_urls_that_hold_another_url(spark):
+    held = [
+        "https://example.net?u=https://b.com/en/x", "http://net#http://q.com/a", "http://example.net?a://b/en/c", "://?://b.com/a/b",
+        "http://b.com/a/b?u=http://net/", "http://net?u=http://c.net?v=http://d.net/x", "http://?x://net/",
+    ]
+    pages = spark.createDataFrame(list(enumerate(held)), "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    got = {r["page_id"]: tuple(r)[1:] for r in urls.judge(pages, rules).collect()}
+    assert got == {i: judged(u) for i, u in enumerate(held)}
+    assert got[0] == ("example.net", "", None, "allow") and got[4][1] == "/a/b"
+
+
 def test_repeated_pages_and_empty_tables(spark):
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://net/")] * 3 + [(None, None)], "page_id long, url string")

@@ -30,8 +30,8 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    """From after the host up to `?`, `#` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    """From after the host up to `?`, `#` or the end; optional in the pattern, so that no later `://` is tried."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*+(/[^?#]*)?", 1), F.lit(""))
 
 
 def digest(host: Column, path: Column) -> Column:
