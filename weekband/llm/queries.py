@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekband.llm import chat, contamination, language, mixing, near_dup, quality, repeats, secret_scan, token_files, urls
+from weekband.llm import chat, contamination, language, mixing, near_dup, quality, repeats, secret_scan, sharding, token_files, urls
 from weekband.llm.common import materialize, table, word_count
 
 RULES = [
@@ -117,6 +117,16 @@ def mixture(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def shards(spark: SparkSession, d: str) -> DataFrame:
+    """Shard and slot of every document in a uniform shuffle into sixteen shards."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    docs = table(spark, d, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    none = F.lit(None).cast("int")
+    return sharding.shuffled(docs, 16).select("row.*", F.lit("rows").alias("law"), "shard", "slot", none.alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_duplicates,
     "op2_repeated_strings": repeated_strings,
@@ -128,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": chat_format,
     "op9_mixture": mixture,
     "op10_token_files": token_output,
+    "op11_shards": shards,
 }
 
 ORACLE: dict[str, str] = {
