@@ -37,32 +37,34 @@ def test_same_rows_on_every_run_and_another_seed(spark):
     assert first == again and first != other
 
 
-def test_every_place_is_as_likely(spark, monkeypatch):
-    """40 rows in cells of 8, 3 shards, 60 seeds: each row is in each shard about as often, and so at each slot."""
-    monkeypatch.setattr(sharding, "PART_ROWS", 4)
-    docs = spark.range(40, numPartitions=5).select(F.col("id").alias("doc_id"))
-    shards, slots = np.zeros((40, 3)), np.zeros((40, 14))
-    for seed in range(60):
-        for r in sharding.shuffled(docs, 3, seed).select("row.doc_id", "shard", "slot").collect():
-            shards[r["doc_id"], r["shard"]] += 1
-            slots[r["doc_id"], r["slot"]] += 1
-    expected = np.array([14, 13, 13]) / 40 * 60
-    assert ((shards - expected) ** 2 / expected).sum() < 160  # chi-square, 78 degrees of freedom
-    assert slots[:, :13].max() <= 18
-
-
-def test_matrix_has_its_margins_and_its_law(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "FAN_BITS", 1)  # a deep tree
-    cells = [(0, 5), (3, 7), (4, 1), (9, 12), (31, 25)]
+def test_places_look_uniform(spark):
+    """Where rows were in their cell, in which cell, and where they end up are independent."""
+    docs = spark.range(60_000, numPartitions=6).select(F.col("id").alias("doc_id"))
+    got = sharding.shuffled(docs, 8).select("row.doc_id", "shard", "slot").collect()
+    seen = np.zeros((60, 8 * 5))
+    for r in got:
+        seen[r["doc_id"] // 1000, r["shard"] * 5 + r["slot"] // 1500] += 1
+    chi = ((seen - 25) ** 2 / 25).sum()
+    assert abs(chi - 59 * 39) < 5 * (2 * 59 * 39) ** 0.5  # chi-square of a table with fixed margins
+
+
+def test_matrix_has_its_margins(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FAN_BITS", 2)  # a deeper tree
+    cells = [(0, 5), (3, 7), (4, 1), (9, 12), (13, 25)]
     df = spark.createDataFrame(cells, "cell long, rows long")
-    drawn = []
-    for seed in range(40):
-        got = {r["cell"]: r["counts"] for r in sharding.communication_matrix(df, 4, seed).collect()}
-        assert {c: sum(v) for c, v in got.items()} == dict(cells)
-        assert np.array(list(got.values())).sum(axis=0).tolist() == [13, 13, 12, 12]
-        drawn.append(got[9][0])
-    mean, variance = 12 * 13 / 50, 12 * 13 / 50 * 37 / 50 * 38 / 49
-    assert abs(np.mean(drawn) - mean) < 4 * (variance / 40) ** 0.5
+    got = {r["cell"]: r["counts"] for r in sharding.communication_matrix(df, 4, 1).collect()}
+    assert {c: sum(v) for c, v in got.items()} == dict(cells)
+    assert np.array(list(got.values())).sum(axis=0).tolist() == [13, 13, 12, 12]
+
+
+def test_law_of_the_deal():
+    """Means and variances of the multivariate hypergeometric law."""
+    rng, left = np.random.default_rng(1), np.array([13, 13, 12, 12])
+    drawn = np.array([sharding.deal(rng, left, 12) for _ in range(4000)])
+    assert (drawn.sum(axis=1) == 12).all()
+    share = left / 50
+    assert np.abs(drawn.mean(axis=0) - 12 * share).max() < 0.1
+    assert np.abs(drawn.var(axis=0) - 12 * share * (1 - share) * 38 / 49).max() < 0.15
 
 
 @pytest.mark.parametrize("good, bad, drawn", [(3, 5, 4), (500, 20, 60), (10, 0, 4), (0, 10, 4), (6, 6, 12), (6, 6, 0)])

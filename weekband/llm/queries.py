@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekband.llm import chat, contamination, language, mixing, near_dup, quality, repeats, secret_scan, sharding, token_files, urls
+from weekband.llm import chat, collocations, contamination, language, mixing, near_dup, quality, repeats, secret_scan, sharding, token_files, urls
 from weekband.llm.common import materialize, table, word_count
 
 RULES = [
@@ -127,6 +127,11 @@ def shards(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shuffled(docs, 16).select("row.*", F.lit("rows").alias("law"), "shard", "slot", none.alias("grown_shard"))
 
 
+def phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Collocations of every language with their counts."""
+    return collocations.collocations(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_duplicates,
     "op2_repeated_strings": repeated_strings,
@@ -139,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixture": mixture,
     "op10_token_files": token_output,
     "op11_shards": shards,
+    "op12_collocations": phrases,
 }
 
 ORACLE: dict[str, str] = {
@@ -190,4 +196,34 @@ SELECT conv_id, count(*) AS n_turns,
        sum(length('<|im_start|>' || role || e_text || '<|im_end|>') + 2)::BIGINT AS formatted_chars,
        true AS round_trip
 FROM escaped GROUP BY conv_id""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, (len(w) - k + 2)::BIGINT)) AS p
+        FROM words, (SELECT unnest(range(1, 6)) AS k) WHERE k <= len(w))),
+counts AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS c FROM counts WHERE k > 1),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.k, a, c, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score
+  FROM cuts JOIN totals ON totals.lang = cuts.lang
+  JOIN counts x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:c], ' ')
+  JOIN counts y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[c + 1:], ' ')),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, f, array_to_string(w[p:p + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS p
+        FROM (SELECT lang, f, k, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS m FROM counts WHERE k > 2))),
+kept AS (
+  SELECT * FROM worst WHERE NOT EXISTS (
+    SELECT 1 FROM inside i WHERE i.lang = worst.lang AND i.phrase = worst.phrase AND 100 * i.f >= 100 * worst.a))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+WHERE rank <= 2000""",
 }
