@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weekband.llm.blocks import Runs, blocks, text_bytes
 from weekband.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,8 +43,6 @@ SHARDS = 8
 MAX_WORDS = 5
 #: Places of the bitmap of what is frequent (16 MB).
 BITS = 27
-#: Bytes of text that a task counts at once.
-BLOCK_BYTES = 16 << 20
 #: Entries that meet in a range of fingerprints, about.
 RANGE_ENTRIES = 1 << 21
 
@@ -51,8 +50,6 @@ RANGE_ENTRIES = 1 << 21
 CLASS = np.zeros(256, dtype=np.uint8)
 CLASS[[0x20, 0x09]] = 1
 CLASS[[ord(c) for c in ".,;:!?"] + [0x0A, 0x0B, 0x0C, 0x0D]] = 2
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,30 +58,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class Words:
-    """The words of a block of texts: `code` into `names`, `piece` that a word is in, `doc` that it is of."""
+class Words(Runs):
+    """The words of texts, with the `piece` that each is in and the `hash` of each name."""
 
     def __init__(self, texts: pa.Array) -> None:
-        texts = texts.fill_null("")
-        start = np.frombuffer(texts.buffers()[1], dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)
-        start = start[texts.offset : texts.offset + len(texts) + 1]
-        raw = texts.buffers()[2]
-        data = np.frombuffer(raw, dtype=np.uint8)[start[0] : start[-1]] if raw is not None else np.zeros(0, np.uint8)
-        start = (start - start[0]).astype(np.int64)
+        data, start = text_bytes(texts)
         kind = CLASS[data]
-        inside = kind == 0
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        own = start[:-1][start[:-1] < start[1:]]
-        first[own] = inside[own]
-        at = np.flatnonzero(first)
-        letters = LOWER[data[inside]]
-        offsets = np.append(np.cumsum(inside, dtype=np.int32)[at] - 1, len(letters)).astype(np.int32)
-        coded = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
-        self.names = coded.dictionary
-        self.code = coded.indices.to_numpy()
-        self.doc = np.searchsorted(start, at, side="right") - 1
-        self.piece = np.cumsum(kind == 2, dtype=np.int32)[at] + self.doc
+        super().__init__(data, start, kind == 0)
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.at] + self.doc
         names = self.names.to_pylist()
         self.hash = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), dtype=np.uint64, count=len(names))
 
@@ -118,21 +99,6 @@ def phrases(words: Words, langs: np.ndarray, frequent: np.ndarray, pairs: np.nda
             yield k, prints, fits
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches joined up to `BLOCK_BYTES` of text."""
-    held, size = [], 0
-    for batch in batches:
-        for start in range(0, batch.num_rows, 500):
-            part = batch.slice(start, 500)
-            held.append(part)
-            size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
-            if size >= BLOCK_BYTES:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def groups(table: pa.Table) -> Iterator[tuple[str, int, pa.Array]]:
     """The texts of each (lang, shard)."""
     keys = table.select(["lang", "shard"]).to_pandas()

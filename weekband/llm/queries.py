@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekband.llm import chat, collocations, contamination, language, mixing, near_dup, quality, repeats, secret_scan, sharding, token_files, urls
+from weekband.llm import chat, collocations, contamination, language, mixing, near_dup, quality, repeats, secret_scan, sharding, spellings, token_files, urls
 from weekband.llm.common import materialize, table, word_count
 
 RULES = [
@@ -132,6 +132,11 @@ def phrases(spark: SparkSession, d: str) -> DataFrame:
     return collocations.collocations(table(spark, d, "documents"))
 
 
+def spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Form, root and near words of every word."""
+    return spellings.variants(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_duplicates,
     "op2_repeated_strings": repeated_strings,
@@ -145,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": token_output,
     "op11_shards": shards,
     "op12_collocations": phrases,
+    "op13_spelling_variants": spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
