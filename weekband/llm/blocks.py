@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of text that a task looks at together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: A-Z in lower case, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
