@@ -10,8 +10,8 @@ block by 64-bit fingerprints; the counts of a shard meet by ranges of the finger
 marked in a bitmap of `BITS` places, the same size for any corpus. Longer phrases are counted only where the words are frequent in the
 corpus and both halves of every two neighbouring words are marked. Collisions of fingerprints or places only add candidates.
 
-*Counting.* Occurrences at marked fingerprints are counted as text, per block by the exact words and over all by a sum, so
-results do not rest on fingerprints. The counts of words and frequent phrases then give the score of every cut by joins. Products are decimals of
+*Counting.* Occurrences at marked fingerprints are counted as text, per block by the exact words and over all by the sum per
+phrase in each range of fingerprints, so results do not rest on fingerprints. The counts of words and frequent phrases then give the score of every cut by joins. Products are decimals of
 38 digits.
 
 Defined results: a NULL or empty text has no words; a NULL language is `und`; repeated rows count as often as they are there; ties
@@ -206,8 +206,13 @@ def bitmap(blobs: DataFrame, supports: DataFrame, range_bits: int) -> bytes:
     return bytes(whole)
 
 
-def count_marked(frequent: Broadcast, candidates: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact counts of the phrases at marked fingerprints, per block."""
+COUNTED_SCHEMA = "range int, lang string, phrases array<string>, counts array<long>"
+
+
+def count_marked(
+    frequent: Broadcast, candidates: Broadcast, range_bits: int, batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
+    """Exact counts of the phrases at marked fingerprints per block, packed by ranges of the fingerprint."""
     words_ok, marks = (np.frombuffer(b.value, np.uint8) for b in (frequent, candidates))
     for table in blocks(batches):
         keys = pc.dictionary_encode(table.column("lang").combine_chunks())
@@ -215,6 +220,7 @@ def count_marked(frequent: Broadcast, candidates: Broadcast, batches: Iterator[p
             texts = table.column("text").filter(pc.equal(keys.indices, code)).combine_chunks()
             words = Words(texts)
             langs = np.full(len(texts), language_hash(lang))
+            found = []
             for k, prints, fits in phrases(words, langs, words_ok, marks, tuple(range(2, MAX_WORDS + 1))):
                 at = np.flatnonzero(fits & marked(marks, prints))
                 if not len(at):
@@ -223,13 +229,34 @@ def count_marked(frequent: Broadcast, candidates: Broadcast, batches: Iterator[p
                 for j in range(1, k):  # a number for the first j + 1 words, without gaps
                     _, ids = np.unique(ids * len(words.names) + words.code[at + j], return_inverse=True)
                 _, first, n = np.unique(ids, return_index=True, return_counts=True)
-                at = at[first]
-                parts = [words.names.take(pa.array(words.code[at + j])) for j in range(k)]
-                phrase = pc.binary_join_element_wise(*parts, " ")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n), pa.string()), pa.array([k] * len(n), pa.int32()), phrase, pa.array(n, pa.int64())],
-                    names=["lang", "k", "phrase", "n"],
-                )
+                parts = [words.names.take(pa.array(words.code[at[first] + j])) for j in range(k)]
+                found.append((prints[at[first]] >> np.uint64(64 - range_bits), pc.binary_join_element_wise(*parts, " "), n))
+            if found:
+                ranges = np.concatenate([f[0] for f in found]).astype(np.int64)
+                order = np.argsort(ranges, kind="stable")
+                full, starts = np.unique(ranges[order], return_index=True)
+                cuts = pa.array(np.append(starts, len(order)), pa.int32())
+                texts_of = pa.concat_arrays([f[1] for f in found]).take(pa.array(order))
+                counts = pa.array(np.concatenate([f[2] for f in found])[order], pa.int64())
+                lists = [pa.ListArray.from_arrays(cuts, texts_of), pa.ListArray.from_arrays(cuts, counts)]
+                own = [pa.array(full, pa.int32()), pa.array([lang] * len(full), pa.string())]
+                yield pa.RecordBatch.from_arrays(own + lists, names=["range", "lang", "phrases", "counts"])
+
+
+def add_up(support: int, table: pa.Table) -> pa.Table:
+    """Sums of the packed counts of one range, where they reach the support."""
+    table = table.combine_chunks()
+    owner = pc.list_parent_indices(table.column("phrases"))
+    flat = pa.table(
+        {
+            "lang": table.column("lang").take(owner),
+            "phrase": pc.list_flatten(table.column("phrases")),
+            "n": pc.list_flatten(table.column("counts")),
+        }
+    )
+    total = flat.group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+    total = total.filter(pc.greater_equal(total.column("n_sum"), support))
+    return pa.table({"lang": total.column("lang"), "phrase": total.column("phrase"), "n": total.column("n_sum")})
 
 
 def dealt(docs: DataFrame) -> DataFrame:
@@ -260,8 +287,13 @@ def frequent_phrases(docs: DataFrame, support: int = 100) -> tuple[DataFrame, Da
         own = bitmap(texts.mapInArrow(pack, PACKED_SCHEMA), supports, range_bits)
         marks = (np.frombuffer(marks, np.uint8) | np.frombuffer(own, np.uint8)).tobytes()
         pairs = context.broadcast(marks)
-    exact = texts.mapInArrow(functools.partial(count_marked, frequent, pairs), "lang string, k int, phrase string, n long")
-    longer = exact.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+
+    def added(table: pa.Table) -> pa.Table:
+        return add_up(support, table)
+
+    exact = texts.mapInArrow(functools.partial(count_marked, frequent, pairs, range_bits), COUNTED_SCHEMA)
+    longer = exact.groupBy("range").applyInArrow(added, "lang string, phrase string, n long")
+    longer = longer.select("lang", F.size(F.split("phrase", " ")).alias("k"), "phrase", "n")
     single_words = words.select("lang", F.lit(1).alias("k"), F.col("word").alias("phrase"), "n")
     return materialize(single_words.unionByName(longer)), materialize(totals.groupBy("lang").agg(F.sum("own").alias("n")))
 
