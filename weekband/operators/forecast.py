@@ -16,12 +16,14 @@ from pyspark.sql import types as T
 from weekband.functions.durations import clamp_at_zero
 from weekband.operators.arima import regression_forecast
 from weekband.operators.common import join_on_keys
+from weekband.operators.harmonic import harmonic_fitted, harmonic_forecast
+from weekband.operators.kalman import kalman_forecast
 from weekband.operators.series import add_regressors, future_frame, with_key_dates
 from weekband.schema import Study, monday
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-METHODS = ("trend_ols", "trend_ar1", "harmonic_ols", "arima")
+METHODS = ("trend_ols", "trend_ar1", "trend_kalman", "harmonic_ols", "arima")
 DUMMIES = ("new_system", "hmic_changes", "bank_holiday")
 
 
@@ -109,9 +111,9 @@ def forecast(
 ) -> DataFrame:
     """(keys, week, mean, lower, upper) for every horizon week of every key with training weeks.
 
-    `trend_ols` is one aggregate, `trend_ar1` adds a window. The other methods fit each series in a grouped function: its
-    group is one series, so it is bounded by the number of weeks, and series are spread over
-    tasks by key.
+    `trend_ols` and `harmonic_ols` are one aggregate, `trend_ar1` adds a window, and `trend_kalman`, for series with missing
+    weeks, a fold over the weeks. `arima` fits each series in a grouped function: its group is one series, so it is bounded by
+    the number of weeks, and series are spread over tasks by key.
     """
     if method == "trend_ols":
         line = trend_coefficients(series, keys, value, study)
@@ -130,6 +132,11 @@ def forecast(
         )
     if method == "trend_ar1":
         return trend_ar1(series, keys, value, study, level)
+    if method == "trend_kalman":
+        line = trend_coefficients(series, keys, value, study)
+        return kalman_forecast(training(series, study), line, keys, value, _line(study), study, normal_quantile(level))
+    if method == "harmonic_ols":
+        return harmonic_forecast(training(series, study), keys, value, study, normal_quantile(level))
     fitted = _fit_groups(series, keys, value, study, method, level)
     return fitted.where("is_future").drop("is_future")
 
@@ -137,7 +144,9 @@ def forecast(
 def fitted_values(
     series: DataFrame, keys: Sequence[str], value: str, study: Study, method: str = "arima"
 ) -> DataFrame:
-    """(keys, week, fitted) one step ahead over the training weeks."""
+    """(keys, week, fitted) over the training weeks, one step ahead for `arima`."""
+    if method == "harmonic_ols":
+        return harmonic_fitted(training(series, study), keys, value, study)
     fitted = _fit_groups(series, keys, value, study, method, 95.0)
     return fitted.where("NOT is_future").select(*keys, "week", F.col("mean").alias("fitted"))
 
@@ -145,7 +154,7 @@ def fitted_values(
 def _fit_groups(
     series: DataFrame, keys: Sequence[str], value: str, study: Study, method: str, level: float
 ) -> DataFrame:
-    if method not in METHODS:
+    if method != "arima":
         raise ValueError(f"method must be one of {METHODS}")
     if not keys:
         raise ValueError("give a key column, a constant one for a single series")
@@ -164,10 +173,10 @@ def _fit_groups(
         T.StructField("upper", T.DoubleType()),
     ]
     schema = T.StructType([*(series.schema[k] for k in keys), *outputs])
-    half, arma, names = normal_quantile(level), method == "arima", list(keys)
+    half, names = normal_quantile(level), list(keys)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fit_series(pdf, names, half, arma)
+        return fit_series(pdf, names, half, True)
 
     # An explicit number of partitions keeps adaptive execution from packing all series into one.
     spread = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 # Mondays of the weeks that hold a London bank holiday, 1995 to 2000, by year.
 HOLIDAY_WEEKS = {
     1995: "1995-01-02 1995-04-10 1995-04-17 1995-05-08 1995-05-29 1995-08-28 1995-12-25",
@@ -106,9 +108,9 @@ slots AS (
 )"""
 
 
-def _sql(*parts: str, select: str = "") -> str:
+def _sql(*parts: str, select: str = "", recursive: bool = False) -> str:
     """Common table expressions, then the final SELECT unless the last part brings its own."""
-    return "WITH " + ",".join(parts) + "\n" + select
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",".join(parts) + "\n" + select
 
 
 def _profile(slot: str) -> str:
@@ -314,6 +316,101 @@ rounded AS (
 )"""
 
 
+def _harmonic() -> str:
+    """`solution` by elimination on the normal equations of `series`, and the band from it."""
+    t = "(date_diff('day', DATE '2000-01-31', week) / 7e0)"
+    waves = ", ".join(f"{f}({t} * {2 * math.pi * i / (365.25 / 7)!r}::DOUBLE)" for f in ("sin", "cos") for i in (1, 2, 3))
+    numbers = lambda dummies: f"[1e0, {t} / {365.25 / 7!r}::DOUBLE, {waves}, {dummies}]"
+    seen = f"(week > DATE '1997-06-02')::INT, (week > DATE '1997-05-12')::INT, (week IN ({ALL_HOLIDAYS}))::INT, y"
+    later = f"1e0, 1e0, (week IN ({HOLIDAYS_2000}))::INT, 0e0"
+    g = "initial_grade_of_response"
+    band = _band(g, digits=4)
+    return f"""
+columns_of AS (
+  SELECT {g}, week, unnest({numbers(seen)}) AS v, unnest(range(1, 13)) AS j FROM series WHERE week < DATE '2000-01-31'
+),
+gram AS (
+  SELECT a.{g}, a.j AS i, b.j, sum(a.v * b.v) AS v FROM columns_of a JOIN columns_of b ON a.{g} = b.{g} AND a.week = b.week
+  GROUP BY ALL
+),
+elim AS (
+  SELECT {g}, 1 AS p, i, j, v FROM gram
+  UNION ALL
+  SELECT a.{g}, a.p + 1, a.i, a.j,
+         CASE WHEN d.v <= 1e-9 * greatest(1, o.v) THEN a.v WHEN a.i = a.p THEN a.v / d.v ELSE a.v - c.v * b.v / d.v END
+  FROM elim a JOIN elim b ON b.{g} = a.{g} AND b.i = a.p AND b.j = a.j
+  JOIN elim c ON c.{g} = a.{g} AND c.i = a.i AND c.j = a.p
+  JOIN elim d ON d.{g} = a.{g} AND d.i = a.p AND d.j = a.p
+  JOIN gram o ON o.{g} = a.{g} AND o.i = a.p AND o.j = a.p
+  WHERE a.p <= 11
+),
+pivots AS (
+  SELECT e.{g}, e.i AS j, e.v > 1e-9 * greatest(1, o.v) AS fine FROM elim e JOIN gram o USING ({g}, i, j) WHERE e.i = e.p AND e.j = e.p AND e.i < 12
+),
+used AS (SELECT {g}, count(*) FILTER (WHERE fine) AS k FROM pivots GROUP BY ALL),
+solution AS (
+  SELECT e.{g}, e.i AS j, CASE WHEN fine THEN e.v ELSE 0 END AS b FROM elim e JOIN pivots p ON p.{g} = e.{g} AND p.j = e.i
+  WHERE e.p = 12 AND e.j = 12
+),
+spread AS (
+  SELECT e.{g}, sqrt(greatest(e.v, 0) / (n - k)) AS sigma
+  FROM elim e JOIN used USING ({g})
+  JOIN (SELECT {g}, count(*) AS n FROM series WHERE week < DATE '2000-01-31' GROUP BY ALL) USING ({g})
+  WHERE e.p = 12 AND e.i = 12 AND e.j = 12 AND n >= k + 8
+),
+{band[: band.index("ahead AS (")].strip()}
+later AS (
+  SELECT {g}, week, unnest({numbers(later)}) AS v, unnest(range(1, 13)) AS j FROM spread CROSS JOIN horizon
+),
+ahead AS (
+  SELECT {g}, week, sum(v * b) AS mean, 1.959963984540054 * any_value(sigma) AS half
+  FROM later JOIN solution USING ({g}, j) JOIN spread USING ({g}) GROUP BY {g}, week
+),
+{band[band.index("shown AS ("):]}"""
+
+
+def _gaps() -> str:
+    """The band of medians per type whose errors follow the last one, by a filter over the weeks for every value on the grid."""
+    key = "incident_type_new"
+    band = _band(key, digits=4)
+    return f"""
+grouped AS (SELECT *, coalesce(type_group, incident_type) AS {key} FROM timed),
+medians AS (SELECT {key}, week, quantile_cont(minutes, 0.5) AS y FROM grouped GROUP BY ALL),
+grid AS (
+  SELECT {key}, CAST(unnest(generate_series(min(week)::TIMESTAMP, max(week)::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS week
+  FROM medians GROUP BY {key}
+),
+series AS (SELECT {key}, week, y FROM grid LEFT JOIN medians USING ({key}, week)),
+{band[: band.index("ahead AS (")].strip()}
+errors AS (
+  SELECT {key}, week, row_number() OVER (PARTITION BY {key} ORDER BY week) AS i, y - (intercept + slope * t) AS e
+  FROM (SELECT *, date_diff('day', DATE '2000-01-31', week) / 7e0 AS t FROM series WHERE week < DATE '2000-01-31')
+  JOIN line USING ({key})
+),
+walk AS (
+  SELECT {key}, p / 100e0 AS phi, 0 AS i, 0e0 AS m, 1 / (1 - p / 100e0 * (p / 100e0)) AS v, 0 AS n, 0e0 AS squares, 0e0 AS logs
+  FROM line CROSS JOIN range(-98, 99, 2) r(p)
+  UNION ALL
+  SELECT {key}, phi, errors.i, coalesce(e, phi * m), CASE WHEN e IS NULL THEN phi * phi * v + 1 ELSE 0 END,
+         n + (e IS NOT NULL)::INT, squares + coalesce(power(e - phi * m, 2) / (phi * phi * v + 1), 0),
+         logs + CASE WHEN e IS NULL THEN 0 ELSE ln(phi * phi * v + 1) END
+  FROM walk JOIN errors USING ({key}) WHERE errors.i = walk.i + 1
+),
+ends AS (SELECT {key}, max(i) AS i, max(week) AS last_week FROM errors GROUP BY ALL),
+states AS (
+  SELECT * FROM walk JOIN ends USING ({key}, i) WHERE n > 3
+  QUALIFY row_number() OVER (PARTITION BY {key}
+    ORDER BY round(-(n * ln(greatest(squares, 1e-300) / n) + logs) / 2, 9) DESC, phi) = 1
+),
+distant AS (SELECT {key}, week, date_diff('day', last_week, week) / 7e0 AS h FROM ends CROSS JOIN horizon),
+ahead AS (
+  SELECT {key}, week, intercept + slope * (date_diff('day', DATE '2000-01-31', week) / 7e0) + power(phi, h) * m AS mean,
+         1.959963984540054 * sqrt(squares / (n_seen - 3) * (power(phi * phi, h) * v + (1 - power(phi * phi, h)) / (1 - phi * phi))) AS half
+  FROM distant JOIN line USING ({key}) LEFT JOIN (SELECT * RENAME (n AS n_seen) FROM states) USING ({key})
+),
+{band[band.index("shown AS ("):]}"""
+
+
 def _filled_series(key: str, source: str) -> str:
     """Weekly counts without the first and last week, zeros inside each key's own range."""
     return f"""
@@ -916,6 +1013,17 @@ shown AS (""",
         ),
         select="SELECT * FROM rounded",
     ),
+    "forecast_harmonic_band": _sql(CALLS, BY_GRADE, _harmonic(), select="SELECT * FROM rounded", recursive=True),
+    "harmonic_fitted": _sql(
+        CALLS,
+        BY_GRADE,
+        _harmonic(),
+        select="""
+SELECT initial_grade_of_response, week, round(sum(v * b), 4) AS fitted
+FROM columns_of JOIN solution USING (initial_grade_of_response, j) GROUP BY ALL""",
+        recursive=True,
+    ),
+    "forecast_gaps_band": _sql(CALLS, ATTENDED, _gaps(), select="SELECT * FROM rounded", recursive=True),
     "trend_fitted": _sql(
         CALLS,
         BY_GRADE,

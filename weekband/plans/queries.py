@@ -815,7 +815,23 @@ def forecast_ar1_band(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def forecast_harmonic_band(spark: SparkSession, d: str) -> DataFrame:
-    return _grade_band(spark, d, "harmonic_ols")
+    return rounded(_grade_band(spark, d, "harmonic_ols"), 4, *_BAND)
+
+
+@query
+def harmonic_fitted(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(fc.fitted_values(grade_series(spark, d), [GRADE], "n", STUDY, "harmonic_ols"), 4, "fitted")
+
+
+@query
+def forecast_gaps_band(spark: SparkSession, d: str) -> DataFrame:
+    """Median response per type; weeks without an attended call stay unknown."""
+    timed = with_response(star.calls(spark, d, [*RESPONSE, TYPE])).withColumn(
+        "incident_type_new", merge_categories(F.col(TYPE), TYPE_GROUPS)
+    )
+    medians = materialize(series.weekly_median(timed, "minutes", ["incident_type_new"]))
+    filled = materialize(series.fill_weeks(medians, ["incident_type_new"], {"median": None}))
+    return rounded(fc.forecast_band(filled, ["incident_type_new"], "median", STUDY, "trend_kalman"), 4, *_BAND)
 
 
 @query
