@@ -11,7 +11,8 @@ vocabulary. Two texts are linked if a banded alignment of their k-mer sequences
 * In a bucket nobody is compared with everybody. A leader, the member with the largest buckets, is compared with all
   other members, and what is linked becomes a component.
 * Where a bucket still has more than one component, which happens among texts that share a frequent passage, its texts go on to an exact search by
-  prefix filter: two similar texts share one of the rarest fifth of their k-mers, whatever order of rarity is used. There leaders, in
+  prefix filter: two similar texts share one of the rarest fifth of their k-mers, whatever order of rarity is used. The order is by
+  counts over all these texts, kept in a table of bytes of fixed size. There leaders, in
   more slices each round, are compared with all members of other components. Only a leader leaves the bucket after that, never
   what is linked to it, until one component is left: every pair of a bucket is linked, compared, or ruled out by sizes and places.
 * Among leaders of bands a pair reaches the alignment only if at least 22 of its 64 values agree (at 0.8 fewer agree with a probability near
@@ -47,8 +48,11 @@ VALUES = 2 * BANDS
 MIN_AGREE = 22
 #: Leaders per bucket in the first round of the exact search; each later round has this many times more.
 SLICES = 64
-#: Bounds of the list of frequent k-mers: texts looked at, and k-mers kept. It makes the exact search faster and changes no result.
-SAMPLED_TEXTS, FREQUENT = 2000, 100_000
+#: Counts of k-mers, by which the exact search orders them, go into so many places (one byte each, for any corpus), in so many parts.
+#: K-mers that share a place, and counts over 255, only make the order less fine; no result rests on it.
+COUNT_BITS, PART_BITS = 24, 6
+#: K-mers that a task counts together.
+COUNTED_TOGETHER = 1 << 21
 PREFIX = "bucket long, key binary, n long, place long"
 CACHE_WORDS = 500_000
 #: ASCII signs that are neither letters nor digits become spaces.
@@ -289,7 +293,7 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     doubtful = materialize(members.join(mixed_up, "bucket", "left_semi").select("key").distinct())
     if doubtful.isEmpty():
         return labels
-    rare = prefixes(doubtful.join(texts, "key"), threshold)
+    rare = prefixes(materialize(doubtful.join(texts, "key")), threshold)
     pending = materialize(unsettled(rare.join(scores, "key"), labels))
     slices, at = SLICES, 1
     while not pending.isEmpty():
@@ -378,19 +382,19 @@ def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
     `threshold * n`, so not all of the first `n - threshold * n + 1` are missing in the other.
     """
 
-    def expand(it: Iterator[pa.RecordBatch], frequent: dict[int, int] | None) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+    counts = texts.sparkSession.sparkContext.broadcast(kmer_counts(texts))
+
+    def expand(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, often = WordHashes(), np.frombuffer(counts.value, np.uint8)
         for batch in it:
             flat: list[np.ndarray] = []
             whole: list[int] = []
             for text in batch.column(1):
                 labels = labelled(kmers(text.as_py(), memo))
                 whole.append(len(labels))
-                if frequent is not None:
-                    often = np.array([frequent.get(x, 0) for x in labels.tolist()], np.int64)
-                    n = len(labels) - int(np.ceil(threshold * len(labels) - 1e-9)) + 1
-                    labels = labels[np.lexsort((labels, often))[:n]]
-                flat.append(labels.view(np.int64))
+                n = len(labels) - int(np.ceil(threshold * len(labels) - 1e-9)) + 1
+                order = np.lexsort((labels, often[labels >> np.uint64(64 - COUNT_BITS)]))
+                flat.append(labels[order[:n]].view(np.int64))
             sizes = [len(f) for f in flat]
             keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(flat)), sizes)))
             buckets = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
@@ -398,12 +402,46 @@ def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
             place = pa.array(np.concatenate([np.arange(size) for size in sizes]) if sizes else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([buckets, keys, n, place], ["bucket", "key", "n", "place"])
 
-    chosen = texts.orderBy(F.xxhash64("key"), "key").limit(SAMPLED_TEXTS).select("key", "text")
-    sampled = chosen.mapInArrow(functools.partial(expand, frequent=None), PREFIX)
-    counts = sampled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
-    top = counts.orderBy(F.desc("n"), "bucket").limit(FREQUENT).collect()
-    frequent = {r["bucket"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in top}
-    return texts.select("key", "text").mapInArrow(functools.partial(expand, frequent=frequent), PREFIX)
+    return texts.select("key", "text").mapInArrow(expand, PREFIX)
+
+
+def kmer_counts(texts: DataFrame) -> bytes:
+    """How often a k-mer occurs in all of `texts` (`text`), up to 255, at the place of its first `COUNT_BITS` bits."""
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        slots, n = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.searchsorted(slots, np.arange(1 << PART_BITS, dtype=np.uint32) << np.uint32(COUNT_BITS - PART_BITS))
+        few = np.minimum(n, 255).astype(np.uint8)
+        parts = [(i, s.tobytes(), c.tobytes()) for i, (s, c) in enumerate(zip(np.split(slots, cuts[1:]), np.split(few, cuts[1:]), strict=True)) if len(s)]
+        return pa.RecordBatch.from_pylist([dict(zip(("part", "slots", "counts"), x, strict=True)) for x in parts], schema=pa.schema([("part", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())]))
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, held, size = WordHashes(), [], 0
+        for batch in it:
+            for text in batch.column(0):
+                labels = labelled(kmers(text.as_py(), memo))
+                held.append((labels >> np.uint64(64 - COUNT_BITS)).astype(np.uint32))
+                size += len(labels)
+                if size >= COUNTED_TOGETHER:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def added(table: pa.Table) -> pa.Table:
+        part, width = table.column("part")[0].as_py(), 1 << (COUNT_BITS - PART_BITS)
+        total = np.zeros(width, np.int64)
+        for slots, counts in zip(table.column("slots"), table.column("counts"), strict=True):
+            total[np.frombuffer(slots.as_buffer(), np.uint32) & np.uint32(width - 1)] += np.frombuffer(counts.as_buffer(), np.uint8)
+        few = np.minimum(total, 255).astype(np.uint8).tobytes()
+        return pa.table({"part": pa.array([part], pa.int32()), "counts": pa.array([few], pa.binary())})
+
+    sent = texts.select("text").mapInArrow(count, "part int, slots binary, counts binary")
+    whole = bytearray(1 << COUNT_BITS)
+    width = len(whole) >> PART_BITS
+    for row in sent.groupBy("part").applyInArrow(added, "part int, counts binary").collect():
+        whole[row["part"] * width : (row["part"] + 1) * width] = row["counts"]
+    return bytes(whole)
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
