@@ -44,7 +44,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_BITS = 18
 STRIDE = 256
 BLOCK_TOKENS = 1 << 17
-CACHE_WORDS = 400_000
+#: Bytes of words that a task remembers with their ids, about, before it forgets those not met lately.
+CACHE_BYTES = 24 << 20
+#: What a remembered word takes besides its letters and ids: two objects and its place in a dictionary.
+WORD_BYTES = 190
 #: White space other than a space and a line feed, in any alphabet.
 OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 OUTER = (" ", "\n")
@@ -72,17 +75,9 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    @classmethod
-    def of_process(cls, path: str) -> WordEncoder:
-        """The one encoder of this worker process for `path`; its memory serves all tasks that run here."""
-        kept = sys.__dict__.setdefault("_word_encoders", {})
-        if path not in kept:
-            kept[path] = cls(path)
-        return kept[path]
-
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Little-endian 16-bit ids of every text with `end` after it."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) * WORD_BYTES > CACHE_BYTES:
             self.known, self.older = {}, self.known
         split = [self.pieces(t or "") for t in texts]
         heads = self.tool.encode_batch_fast([p[0] for p in split], add_special_tokens=False)
@@ -136,7 +131,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        tool, pack = WordEncoder.of_process(tokenizer), zstandard.ZstdCompressor(level=1)
+        tool, pack = WordEncoder(tokenizer), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], "<u2").tobytes()
         for batch in it:
             for start in range(0, batch.num_rows, 256):
