@@ -177,7 +177,7 @@ WITH parts AS (
   SELECT page_id, row_number() OVER () AS k,
          translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         coalesce(regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)', 1, 's'), '') AS path
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)?', 1, 's'), '') AS path
   FROM pages),
 rules(r_host, r_path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
   ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
