@@ -50,8 +50,11 @@ calls AS (
   LEFT JOIN customer ON o_custkey = c_custkey
 )"""
 
-RARE = """
-rare AS (SELECT incident_type FROM calls GROUP BY incident_type HAVING count(*) < 2000),
+RARE_TYPES = """
+rare AS (SELECT incident_type FROM calls GROUP BY incident_type HAVING count(*) < 2000)"""
+FOLDED = """coalesce(type_group, CASE WHEN incident_type IN (SELECT incident_type FROM rare) THEN 'other - minor'
+                ELSE incident_type END) AS incident_type_new"""
+RARE = f"""{RARE_TYPES},
 typed AS (
   SELECT calls.*, coalesce(type_group, incident_type) AS merged_type,
          coalesce(type_group,
@@ -374,7 +377,7 @@ def _gaps() -> str:
     key = "incident_type_new"
     band = _band(key, digits=4)
     return f"""
-grouped AS (SELECT *, coalesce(type_group, incident_type) AS {key} FROM timed),
+grouped AS (SELECT *, {FOLDED} FROM timed),
 medians AS (SELECT {key}, week, quantile_cont(minutes, 0.5) AS y FROM grouped GROUP BY ALL),
 grid AS (
   SELECT {key}, CAST(unnest(generate_series(min(week)::TIMESTAMP, max(week)::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS week
@@ -646,6 +649,29 @@ LEFT JOIN (
     ('violence', 'group b'), ('admin', 'group c')) m(panel, type) ON merged_type = type GROUP BY ALL
   UNION ALL SELECT 'all', area_id, week, count(*) FROM typed GROUP BY ALL) c
 ON c.panel = p.panel AND c.area_id = a.area_id AND c.week = w.week GROUP BY ALL""",
+    ),
+    "area_week_panel_rows": _sql(
+        CALLS,
+        RARE,
+        AREAS,
+        WEEKS,
+        select="""
+SELECT p.panel, a.area_id, a.imd_decile, w.week, coalesce(c.n, 0) AS n
+FROM areas a CROSS JOIN weeks w
+CROSS JOIN (VALUES ('all'), ('asb'), ('drugs'), ('missing person'), ('domestic'), ('violence'), ('admin')) p(panel)
+LEFT JOIN (
+  SELECT panel, area_id, week, count(*) AS n FROM typed JOIN (VALUES
+    ('asb', 'group a'), ('drugs', 'Brand#11'), ('missing person', 'Brand#12'), ('domestic', 'Brand#10'),
+    ('violence', 'group b'), ('admin', 'group c')) m(panel, type) ON merged_type = type GROUP BY ALL
+  UNION ALL SELECT 'all', area_id, week, count(*) FROM typed GROUP BY ALL) c
+ON c.panel = p.panel AND c.area_id = a.area_id AND c.week = w.week""",
+    ),
+    "deprived_areas_alone": _sql(
+        AREAS,
+        EDGES,
+        select="""
+SELECT area_id FROM areas WHERE imd_decile = 1 AND area_id NOT IN (
+  SELECT src FROM edges JOIN areas b ON b.area_id = dst AND b.imd_decile = 1)""",
     ),
     "areas_intersecting": """
 SELECT s_suppkey AS area_id FROM supplier
@@ -671,15 +697,15 @@ WHERE s_suppkey % 10 <= 6.5 AND s_suppkey % 10 + 1 >= 2.5 AND s_suppkey // 10 <=
     "attendance_by_type": _sql(
         CALLS,
         RARE,
-        "merged AS (SELECT * REPLACE (merged_type AS incident_type_new) FROM typed)",
-        select=_attendance("incident_type_new", "merged"),
+        select=_attendance("incident_type_new", "typed"),
     ),
     "attendance_by_grade": _sql(CALLS, select=_attendance(GRADE, "calls", GRADES_1_4)),
     "median_response_weekly": _sql(CALLS, ATTENDED, select=_median("minutes", "timed")),
     "median_response_by_type": _sql(
         CALLS,
+        RARE_TYPES,
         ATTENDED,
-        "grouped AS (SELECT *, coalesce(type_group, incident_type) AS incident_type_new FROM timed)",
+        f"grouped AS (SELECT *, {FOLDED} FROM timed)",
         select=_median("minutes", "grouped", "incident_type_new"),
     ),
     "median_response_by_grade": _sql(CALLS, ATTENDED, select=_median("minutes", "timed", GRADE)),
@@ -761,7 +787,8 @@ CROSS JOIN (SELECT CAST(date_trunc('week', DATE '2000-01-31' + INTERVAL (7 * i)
     ),
     "origin_share_weekly_by_type": _sql(
         CALLS,
-        "merged AS (SELECT *, coalesce(type_group, incident_type) AS incident_type_new FROM calls)",
+        RARE_TYPES,
+        f"merged AS (SELECT *, {FOLDED} FROM calls)",
         select=_shares("call_origin", "merged", "incident_type_new", "call_origin IS NOT NULL"),
     ),
     "origin_year_share": _sql(
@@ -850,8 +877,9 @@ LEFT JOIN (SELECT area_id FROM calls WHERE incident_type = 'Brand#10') c ON c.ar
     ),
     "gini_weekly_by_type": _sql(
         CALLS,
+        RARE_TYPES,
         WEEKS,
-        "counted AS (SELECT coalesce(type_group, incident_type) AS incident_type_new, week, area_id,"
+        f"counted AS (SELECT {FOLDED}, week, area_id,"
         " count(*) AS n FROM calls GROUP BY ALL)",
         _gini(
             "incident_type_new, week",
@@ -879,21 +907,23 @@ WHERE log_n < q1 - 1.5 * (q3 - q1) OR log_n > q3 + 1.5 * (q3 - q1)""",
     ),
     "boxplot_by_decile_type": _sql(
         CALLS,
+        RARE_TYPES,
         AREAS,
-        """
+        f"""
 logged AS (
   SELECT incident_type_new, imd_decile, log10(n) AS log_n
-  FROM (SELECT coalesce(type_group, incident_type) AS incident_type_new, area_id, count(*) AS n FROM calls GROUP BY ALL)
+  FROM (SELECT {FOLDED}, area_id, count(*) AS n FROM calls GROUP BY ALL)
   JOIN areas USING (area_id) WHERE imd_decile IS NOT NULL
 )""",
         select=_box("incident_type_new, imd_decile", "log_n", "logged"),
     ),
     "boxplot_by_decile_period_type": _sql(
         CALLS,
+        RARE_TYPES,
         AREAS,
-        """
+        f"""
 typed AS (
-  SELECT area_id, coalesce(type_group, incident_type) AS incident_type_new, week,
+  SELECT area_id, {FOLDED}, week,
          CASE WHEN ts < TIMESTAMP '2000-01-31' THEN 'Pre-COVID' ELSE '2020' END AS period FROM calls
 ),
 means AS (
@@ -935,9 +965,10 @@ logs AS (
     ),
     "decile_share_weekly_by_type": _sql(
         CALLS,
+        RARE_TYPES,
         AREAS,
         WEEKS,
-        "calls_typed AS (SELECT *, coalesce(type_group, incident_type) AS incident_type_new FROM calls)",
+        f"calls_typed AS (SELECT *, {FOLDED} FROM calls)",
         _decile_share("incident_type_new", "imd_decile IS NOT NULL").lstrip(),
     ),
     "spatial_weights": _sql(
@@ -1023,7 +1054,7 @@ SELECT initial_grade_of_response, week, round(sum(v * b), 4) AS fitted
 FROM columns_of JOIN solution USING (initial_grade_of_response, j) GROUP BY ALL""",
         recursive=True,
     ),
-    "forecast_gaps_band": _sql(CALLS, ATTENDED, _gaps(), select="SELECT * FROM rounded", recursive=True),
+    "forecast_gaps_band": _sql(CALLS, RARE_TYPES, ATTENDED, _gaps(), select="SELECT * FROM rounded", recursive=True),
     "trend_fitted": _sql(
         CALLS,
         BY_GRADE,

@@ -112,6 +112,11 @@ def weekly_types(spark: SparkSession, d: str) -> DataFrame:
     return merged.groupBy("incident_type_new", "week").agg(F.sum("n").alias("n"))
 
 
+def typed(calls: DataFrame) -> DataFrame:
+    """Calls with their merged type; types rare among all calls are folded into one."""
+    return recode.recode_types(calls, groups=TYPE_GROUPS, threshold=RARE_TYPES_BELOW)
+
+
 def areas_of(spark: SparkSession, d: str) -> DataFrame:
     """The area table, made durable: it is small next to the calls and read several times."""
     return materialize(star.areas(spark, d))
@@ -257,8 +262,8 @@ def area_week_panel(spark: SparkSession, d: str) -> DataFrame:
     return area_ops.area_week_panel(counts, areas_of(spark, d), ends(counts))
 
 
-@query
-def area_week_panels(spark: SparkSession, d: str) -> DataFrame:
+def type_panels(spark: SparkSession, d: str) -> DataFrame:
+    """Every panel, area and week with its calls."""
     by_panel = {
         "all": None,
         "asb": (NAMES.asb,),
@@ -272,14 +277,31 @@ def area_week_panels(spark: SparkSession, d: str) -> DataFrame:
         "incident_type_new", merge_categories(F.col(TYPE), TYPE_GROUPS)
     )
     weekly = materialize(series.weekly_counts(star.calls(spark, d, [])))
-    panel = panels.area_week_panels(calls, areas_of(spark, d), ends(weekly), by_panel)
-    return panel.groupBy("panel", AREA, "imd_decile").agg(
+    return panels.area_week_panels(calls, areas_of(spark, d), ends(weekly), by_panel)
+
+
+@query
+def area_week_panels(spark: SparkSession, d: str) -> DataFrame:
+    return type_panels(spark, d).groupBy("panel", AREA, "imd_decile").agg(
         F.count(F.lit(1)).alias("weeks"),
         F.sum("n").alias("n"),
         F.count_if(F.col("n") == 0).alias("empty_weeks"),
     )
 
 
+@query
+def area_week_panel_rows(spark: SparkSession, d: str) -> DataFrame:
+    return type_panels(spark, d).select("panel", AREA, "imd_decile", "week", "n")
+
+
+@query
+def deprived_areas_alone(spark: SparkSession, d: str) -> DataFrame:
+    """Areas of the most deprived tenth that touch no other one of it."""
+    deprived = areas_of(spark, d).where(F.col("imd_decile") == 1).select(AREA)
+    layer = materialize(star.layer(spark, d).join(deprived, AREA, "left_semi"))
+    return moran.isolates(deprived, geometry.queen_neighbours(layer))
+
+
 @query
 def areas_intersecting(spark: SparkSession, d: str) -> DataFrame:
     layer = star.layer(spark, d)
@@ -342,9 +364,7 @@ def attendance_weekly(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def attendance_by_type(spark: SparkSession, d: str) -> DataFrame:
-    calls = star.calls(spark, d, ["attended_flag", TYPE]).withColumn(
-        "incident_type_new", merge_categories(F.col(TYPE), TYPE_GROUPS)
-    )
+    calls = typed(star.calls(spark, d, ["attended_flag", TYPE]))
     return series.weekly_attendance(calls, ["incident_type_new"])
 
 
@@ -363,9 +383,7 @@ def median_response_weekly(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def median_response_by_type(spark: SparkSession, d: str) -> DataFrame:
-    timed = with_response(star.calls(spark, d, [*RESPONSE, TYPE])).withColumn(
-        "incident_type_new", merge_categories(F.col(TYPE), TYPE_GROUPS)
-    )
+    timed = with_response(typed(star.calls(spark, d, [*RESPONSE, TYPE])))
     return rounded(series.weekly_median(timed, "minutes", ["incident_type_new"]), 3, "median")
 
 
@@ -453,9 +471,7 @@ def origin_share_weekly(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def origin_share_weekly_by_type(spark: SparkSession, d: str) -> DataFrame:
-    calls = star.calls(spark, d, [ORIGIN, TYPE]).withColumn(
-        "incident_type_new", merge_categories(F.col(TYPE), TYPE_GROUPS)
-    )
+    calls = typed(star.calls(spark, d, [ORIGIN, TYPE]))
     share = shares.weekly_share(calls, ORIGIN, keep_null=False, extra=["incident_type_new"])
     return rounded(share, 9, "share")
 
@@ -595,9 +611,7 @@ def gini_weekly(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gini_weekly_by_type(spark: SparkSession, d: str) -> DataFrame:
-    calls = star.calls(spark, d, [AREA, TYPE]).withColumn(
-        "incident_type_new", merge_categories(F.col(TYPE), TYPE_GROUPS)
-    )
+    calls = typed(star.calls(spark, d, [AREA, TYPE]))
     counts = materialize(series.weekly_counts(calls, ["incident_type_new", AREA]))
     total = star.table(spark, d, "supplier").agg(F.count(F.lit(1))).scalar()
     keys = ["incident_type_new", "week"]
@@ -633,7 +647,7 @@ def boxplot_by_decile_period(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def boxplot_by_decile_type(spark: SparkSession, d: str) -> DataFrame:
-    calls = star.calls(spark, d, [AREA, TYPE]).withColumn(MERGED, merge_categories(F.col(TYPE), TYPE_GROUPS))
+    calls = typed(star.calls(spark, d, [AREA, TYPE]))
     counts = area_ops.with_area(area_ops.calls_by_area(calls, extra=[MERGED]), areas_of(spark, d))
     logged = distribution.log10_positive(counts.where(F.col("imd_decile").isNotNull()), "n", "log_n")
     box = distribution.boxplot(materialize(logged), [MERGED, "imd_decile"], "log_n", 0.01)
@@ -642,7 +656,7 @@ def boxplot_by_decile_type(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def boxplot_by_decile_period_type(spark: SparkSession, d: str) -> DataFrame:
-    calls = star.calls(spark, d, [AREA, TYPE]).withColumn(MERGED, merge_categories(F.col(TYPE), TYPE_GROUPS))
+    calls = typed(star.calls(spark, d, [AREA, TYPE]))
     label = period(F.col("incident_date_time"), STUDY.cutoff)
     weekly = series.with_week(calls).withColumn("period", label)
     ranked = areas_of(spark, d).where(F.col("imd_decile").isNotNull())
@@ -678,9 +692,7 @@ def decile_share_weekly(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def decile_share_weekly_by_type(spark: SparkSession, d: str) -> DataFrame:
-    calls = star.calls(spark, d, [AREA, TYPE]).withColumn(
-        "incident_type_new", merge_categories(F.col(TYPE), TYPE_GROUPS)
-    )
+    calls = typed(star.calls(spark, d, [AREA, TYPE]))
     counts = materialize(series.weekly_counts(calls, ["incident_type_new", AREA]))
     share = shares.area_adjusted_share(
         counts, areas_of(spark, d), extra=["incident_type_new"], span=ends(counts), keep_null=False
@@ -826,9 +838,7 @@ def harmonic_fitted(spark: SparkSession, d: str) -> DataFrame:
 @query
 def forecast_gaps_band(spark: SparkSession, d: str) -> DataFrame:
     """Median response per type; weeks without an attended call stay unknown."""
-    timed = with_response(star.calls(spark, d, [*RESPONSE, TYPE])).withColumn(
-        "incident_type_new", merge_categories(F.col(TYPE), TYPE_GROUPS)
-    )
+    timed = with_response(typed(star.calls(spark, d, [*RESPONSE, TYPE])))
     medians = materialize(series.weekly_median(timed, "minutes", ["incident_type_new"]))
     filled = materialize(series.fill_weeks(medians, ["incident_type_new"], {"median": None}))
     return rounded(fc.forecast_band(filled, ["incident_type_new"], "median", STUDY, "trend_kalman"), 4, *_BAND)
