@@ -111,3 +111,33 @@ def test_gaps_widen_the_band_and_recover_phi(spark):
     line = fc.trend_coefficients(series, ["k"], "y", STUDY)
     states = kalman.fitted_states(fc.training(series, STUDY), line, ["k"], "y", fc._line(STUDY)).collect()
     assert all(abs(r["phi"] - 0.8) <= 0.1 for r in states if r["k"] != "few")
+
+
+def test_orders_equal_yule_walker(spark):
+    """The statistic and the errors of all orders against numpy, for a walk, an autoregression, noise and a constant."""
+    from weekband.operators import orders
+
+    rng = np.random.default_rng(12)
+    noise = rng.normal(0, 1, (3, 160))
+    second = np.zeros(160)
+    for i in range(2, 160):
+        second[i] = 0.5 * second[i - 1] + 0.3 * second[i - 2] + noise[1, i]
+    made = {"walk": np.cumsum(noise[0]), "second": second, "noise": noise[2], "flat": np.ones(160), "short": np.arange(7.0)}
+    rows = [(k, w, float(v)) for k, x in made.items() for w, v in zip(weeks(len(x)), x, strict=True)]
+    rows.append(("noise", weeks(161)[0], None))
+    got = {r["k"]: r for r in orders.order_choice(frame(spark, rows), ["k"], "y", 4).collect()}
+    assert set(got) == set(made) - {"short"}
+    for k, r in got.items():
+        x = made[k]
+        assert r["n"] == 160 and r["d"] == int(arima.needs_difference(x)) and (r["kpss"] is None) == (k == "flat")
+        y = np.diff(x) if r["d"] else x
+        y = y - y.mean()
+        gamma = np.array([y[lag:] @ y[: len(y) - lag] / len(y) for lag in range(5)])
+        scores = []
+        for p in range(5):
+            toeplitz = gamma[np.abs(np.subtract.outer(range(p), range(p)))] if p else np.zeros((0, 0))
+            phi = np.linalg.solve(toeplitz, gamma[1 : p + 1]) if p and k != "flat" else np.zeros(p)
+            error = gamma[0] - phi @ gamma[1 : p + 1]
+            scores.append(len(y) * np.log(max(error, 1e-300)) + 2 * (p + 1) + 2 * (p + 1) * (p + 2) / (len(y) - p - 2))
+        assert r["p"] == int(np.argmin(scores)) and r["criterion"] == pytest.approx(min(scores), abs=1e-6)
+    assert got["walk"]["d"] == 1 and got["second"]["p"] >= 1 and got["flat"]["p"] == 0

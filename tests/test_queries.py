@@ -16,7 +16,6 @@ from weekband.plans.products import Names, all_products
 
 QUERIES, ORACLE = {**q.QUERIES, **roundtrips.QUERIES}, {**TWINS, **roundtrips.ORACLE}
 WITHOUT_TWIN = {
-    "forecast_harmonic_band",
     "forecast_arima_band",
     "arima_fitted",
     "forecast_products_arima",

@@ -372,6 +372,62 @@ ahead AS (
 {band[band.index("shown AS ("):]}"""
 
 
+def _lags(source: str, name: str, top: str) -> str:
+    """Autocovariances of `source(g, i, x)` at lags 0 to `top`."""
+    return f"""
+{name} AS (
+  SELECT a.g, a.i - b.i AS k, sum(a.x * b.x) / any_value(n) AS v FROM {source} a JOIN {source} b ON a.g = b.g AND a.i - b.i BETWEEN 0 AND {top}
+  JOIN (SELECT g, count(*) AS n FROM {source} GROUP BY g) c ON c.g = a.g GROUP BY ALL
+)"""
+
+
+#: Differences and orders up to four: the statistic by windows, errors of each order from partial correlations written out.
+ORDERS = f"""
+numbered AS (
+  SELECT incident_type_new AS g, row_number() OVER (PARTITION BY incident_type_new ORDER BY week) AS i, y,
+         y - avg(y) OVER (PARTITION BY incident_type_new) AS x FROM series WHERE week < DATE '2000-01-31'
+),
+{_lags("numbered", "level_lags", "40").strip()},
+runs AS (
+  SELECT g, count(*) AS n, sum(s * s) AS squares, floor(3 * sqrt(count(*)) / 13) AS lags
+  FROM (SELECT g, sum(x) OVER (PARTITION BY g ORDER BY i) AS s FROM numbered) GROUP BY g
+),
+tested AS (
+  SELECT g, n, squares / (n * n * nullif(greatest(v, 0), 0)) AS kpss
+  FROM (SELECT g, any_value(n) AS n, any_value(squares) AS squares,
+               sum(CASE WHEN k = 0 THEN v WHEN k <= lags THEN 2 * (1 - k / (lags + 1)) * v ELSE 0 END) AS v
+        FROM runs JOIN level_lags USING (g) GROUP BY g) WHERE n > 7
+),
+differences AS (
+  SELECT g, i, y - avg(y) OVER (PARTITION BY g) AS x
+  FROM (SELECT g, i, y - lag(y) OVER (PARTITION BY g ORDER BY i) AS y FROM numbered) WHERE y IS NOT NULL
+),
+stationary AS (
+  SELECT s.g, s.i, s.x FROM differences s JOIN tested t ON t.g = s.g AND coalesce(kpss > 0.463, false)
+  UNION ALL SELECT s.g, s.i, s.x FROM numbered s JOIN tested t ON t.g = s.g AND NOT coalesce(kpss > 0.463, false)
+),
+{_lags("stationary", "used_lags", "4").strip()},
+flat AS (
+  SELECT g, max(v) FILTER (k = 0) AS g0, max(v) FILTER (k = 1) AS g1, max(v) FILTER (k = 2) AS g2,
+         max(v) FILTER (k = 3) AS g3, max(v) FILTER (k = 4) AS g4 FROM used_lags GROUP BY g
+),
+one AS (SELECT *, g1 / g0 AS a1, g0 * (1 - power(g1 / g0, 2)) AS e1 FROM flat),
+two AS (SELECT *, (g2 - a1 * g1) / e1 AS b2 FROM one),
+two_all AS (SELECT *, a1 - b2 * a1 AS b1, e1 * (1 - b2 * b2) AS e2 FROM two),
+three AS (SELECT *, (g3 - b1 * g2 - b2 * g1) / e2 AS c3 FROM two_all),
+three_all AS (SELECT *, b1 - c3 * b2 AS c1, b2 - c3 * b1 AS c2, e2 * (1 - c3 * c3) AS e3 FROM three),
+four AS (SELECT *, e3 * (1 - power((g4 - c1 * g3 - c2 * g2 - c3 * g1) / e3, 2)) AS e4 FROM three_all),
+errors AS (SELECT g, unnest([g0, e1, e2, e3, e4]) AS e, unnest(range(0, 5)) AS p FROM four),
+scored AS (
+  SELECT g, p, round(m * ln(e) + 2 * (p + 1) + 2 * (p + 1) * (p + 2) / (m - p - 2), 9) AS criterion
+  FROM errors JOIN (SELECT g, count(*)::DOUBLE AS m FROM stationary GROUP BY g) USING (g)
+),
+chosen AS (
+  SELECT g AS incident_type_new, n, round(kpss, 6) AS kpss, coalesce(kpss > 0.463, false)::INT AS d, p, round(criterion, 4) AS criterion
+  FROM scored JOIN tested USING (g) QUALIFY row_number() OVER (PARTITION BY g ORDER BY criterion, p) = 1
+)"""
+
+
 def _gaps() -> str:
     """The band of medians per type whose errors follow the last one, by a filter over the weeks for every value on the grid."""
     key = "incident_type_new"
@@ -1055,6 +1111,7 @@ FROM columns_of JOIN solution USING (initial_grade_of_response, j) GROUP BY ALL"
         recursive=True,
     ),
     "forecast_gaps_band": _sql(CALLS, RARE_TYPES, ATTENDED, _gaps(), select="SELECT * FROM rounded", recursive=True),
+    "order_choice": _sql(CALLS, RARE, BY_TYPE, ORDERS, select="SELECT * FROM chosen"),
     "trend_fitted": _sql(
         CALLS,
         BY_GRADE,

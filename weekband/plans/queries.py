@@ -26,6 +26,7 @@ from weekband.operators import (
     forecast as fc,
     geometry,
     moran,
+    orders,
     profiles,
     recode,
     series,
@@ -844,6 +845,12 @@ def forecast_gaps_band(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fc.forecast_band(filled, ["incident_type_new"], "median", STUDY, "trend_kalman"), 4, *_BAND)
 
 
+@query
+def order_choice(spark: SparkSession, d: str) -> DataFrame:
+    chosen = orders.order_choice(fc.training(type_series(spark, d), STUDY), ["incident_type_new"], "n")
+    return rounded(rounded(chosen, 6, "kpss"), 4, "criterion")
+
+
 @query
 def forecast_arima_band(spark: SparkSession, d: str) -> DataFrame:
     return fc.forecast_band(type_series(spark, d), ["incident_type_new"], "n", STUDY, "arima")
