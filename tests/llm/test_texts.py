@@ -303,17 +303,25 @@ def brute_secrets(text):
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
         c = m[0]
         path = "/" in c and not re.search("[^/]{13}", c)
-        if re.search(secret_scan.UUID, c) or re.search(secret_scan.IN_ORDER, c) or not re.search("[0-9]", c) or not re.search("[A-Za-z]", c) or path:
+        if re.search(secret_scan.UUID, c) or path:
             continue
-        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", c) else "mixed" if re.fullmatch("[A-Za-z0-9]+", c) else "base64"
-        joined = []
-        for p in range(len(c) - secret_scan.WINDOW + 1):
-            n = Counter(c[p : p + secret_scan.WINDOW]).values()
-            if math.log2(secret_scan.WINDOW) - sum(x * math.log2(x) for x in n) / secret_scan.WINDOW >= secret_scan.LEAST[kind] - 1e-9:
+        harmless = {at for h in re.finditer(secret_scan.IN_ORDER, c) for at in range(h.start(), h.end())}
+        joined, width = [], secret_scan.WINDOW
+        for p in range(len(c) - width + 1):
+            if harmless & set(range(p, p + width)):
+                continue
+            a = next((x + 1 for x in range(p, -1, -1) if x in harmless), 0)
+            b = next((x for x in range(p, len(c)) if x in harmless), len(c))
+            piece = c[a:b]
+            if not re.search("[0-9]", piece) or not re.search("[A-Za-z]", piece):
+                continue
+            kind = "hex" if re.fullmatch("[0-9a-fA-F]+", piece) else "mixed" if re.fullmatch("[A-Za-z0-9]+", piece) else "base64"
+            n = Counter(c[p : p + width]).values()
+            if math.log2(width) - sum(x * math.log2(x) for x in n) / width >= secret_scan.LEAST[kind] - 1e-9:
                 if joined and joined[-1][1] >= p:
-                    joined[-1][1] = p + secret_scan.WINDOW
+                    joined[-1][1] = p + width
                 else:
-                    joined.append([p, p + secret_scan.WINDOW])
+                    joined.append([p, p + width])
         more += [(m.start() + a, 3, m.start() + b) for a, b in joined]
     more = [e for e in more if not any(b[0] <= e[0] and e[2] <= b[2] for b in spans)]
     return sorted(spans + more)
@@ -331,6 +339,48 @@ def test_secrets_match_plain_python(spark):
     assert secret_scan.scan(docs_of(spark, [(1, "x")]).limit(0)).count() == 0
 
 
+def test_harmless_parts_hide_no_secret(spark):
+    secret = "Q7vR2kT9mB4xW8zL1nC6pJ3sD5fG0hY"
+    around = [("", ""), ("EXAMPLE_KEY_", ""), ("", "=========="), ("the_0123456789_", ""), ("x" * 30, "y" * 30), ("EXAMPLE", "0123456789EXAMPLE")]
+    texts = [f"see {a}{secret}{b} here" for a, b in around]
+    harmless = ["EXAMPLE_0123456789_abcdefghij", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "a1" + "=" * 40, "the_quick_brown_fox_jumped_0123456789"]
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs_of(spark, list(enumerate(texts + harmless)))).collect()}
+    for i, text in enumerate(texts):
+        at = text.index(secret)
+        assert any(s["start"] <= at and s["end"] >= at + len(secret) for s in found[i]), text
+        assert [tuple(s) for s in found[i]] == brute_secrets(text)
+    assert all(not found[len(texts) + i] for i in range(len(harmless)))
+
+
+def test_languages_equal_plain_compression(spark):
+    """Predictions against zstandard used directly on the dictionaries, and shares of texts that begin alike."""
+    import zstandard
+
+    rows = [(i, ("header of every page " * 30) + " ".join(DRAW.choice(WORDS[k * 900 : k * 900 + 900]) for _ in range(80)), "abc"[k]) for i, k in enumerate([0, 1, 2] * 20)]
+    contents = language.dictionaries([(r[2], r[1]) for r in rows], 96 * 1024, 64)
+    capped = language.dictionaries([(r[2], r[1]) for r in rows], 4096, 64)
+    assert all(c.count(b"header of every page") < 20 * (4096 // 20) / 21 for c in capped.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picked = language.sample(docs, 400, 4096).orderBy("lang", "_slot").collect()
+    contents = language.dictionaries([(r["lang"], r["text"]) for r in picked], 96 * 1024, 64)
+    for r in language.predict(docs, docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        body = language.plain(r["text"])
+        for level in (3, 12):
+            size = {}
+            for lang, content in contents.items():
+                tool = zstandard.ZstdCompressor(
+                    dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                    level=level, write_content_size=False, write_checksum=False, write_dict_id=False,
+                )
+                size[lang] = sum(len(tool.compress(body[at : at + 4096])) for at in range(0, len(body), 4096))
+            order = sorted(size.values())
+            if (order[1] - order[0]) / max(order[0], 16) >= 0.06 or level == 12:
+                assert r["lang_pred"] == min(size, key=lambda k: (size[k], k))
+                break
+    ids = spark.createDataFrame([(None,), (1,)], "doc_id long").select(language.held_out(F.col("doc_id")).alias("h")).collect()
+    assert [r["h"] for r in ids] == [False, zlib.crc32(b"1") % 3 == 1]
+
+
 def tokenizer():
     tokens = pytest.importorskip("public_tokenizers")
     return tokens.path("byte_bpe_50k.json")

@@ -10,8 +10,10 @@ The kind `entropy` finds what has no known form. Candidates are runs of 20 or mo
 a candidate belongs to the class hex, letters with digits, or base64 by the characters in it. A window of `WINDOW` characters slides over it; counts
 per character change by the one that enters and the one that leaves, and with them the sum of `n log2 n`,
 from which Shannon entropy follows at every step. Windows at or over the threshold of the class are joined into spans.
-Candidates on the allow list (such as identifiers with dashes, the alphabet in order, long runs, paths) are
-suppressed, as are entropy spans inside a base span. Base spans are never suppressed.
+The allow list suppresses whole candidates that are UUIDs or paths, and of all others only the signs of a known harmless pattern (the
+alphabet in order, long runs, EXAMPLE): a window that holds one of these signs does not count, the pieces of the candidate between
+them are scanned as if they stood alone. So a secret joined to such a pattern is found. Pieces without a letter or without a digit are words or
+numbers, not secrets. Entropy spans inside a base span are dropped; base spans are never suppressed.
 
 Spans are (kind, start, end) in code points, end exclusive, ordered by start, then by kind in the order above.
 
@@ -36,9 +38,10 @@ WINDOW = 20
 #: Characters that are counted, and the least entropy in bits per class.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST = {"hex": 3.1, "mixed": 3.6, "base64": 3.7}
-#: Candidates that are no secrets: UUIDs, and whatever holds letters or digits in order, a long run of one sign, or the word EXAMPLE.
+#: Candidates that are no secrets.
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-IN_ORDER = r"abcdefghij|ABCDEFGHIJ|0123456789|(.)\1{7}|EXAMPLE"
+#: Parts of candidates that are no secrets: a published sample key, letters or digits in order, a long run of one sign, the word EXAMPLE.
+IN_ORDER = r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|abcdefghij|ABCDEFGHIJ|0123456789|(.)\1{7,}|EXAMPLE"
 
 SPAN = "array<struct<start:int,end:int>>"
 
@@ -63,6 +66,25 @@ def find(text: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda s: s["spans"])).otherwise(none)
 
 
+def pieces(candidates: Column) -> Column:
+    """Array of (start, found): what is left of the candidates between parts on the allow list, if a window fits in and it may be a secret."""
+
+    def between(c: Column) -> Column:
+        # A sign that no candidate holds stands after every match, so that a match's length is known where the next piece begins.
+        marked = F.split(F.regexp_replace(c["found"], IN_ORDER, " $0 "), " ", -1)
+        start = F.struct(c["start"].alias("at"), F.array().cast("array<struct<start:int,found:string>>").alias("kept"))
+
+        def step(state: Column, part: Column) -> Column:
+            one = F.array(F.struct(state["at"].alias("start"), part.alias("found")))
+            good = (F.length(part) >= WINDOW) & part.rlike("[0-9]") & part.rlike("[A-Za-z]") & ~part.rlike(f"^(?:{IN_ORDER})$")
+            kept = F.when(good, F.concat(state["kept"], one)).otherwise(state["kept"])
+            return F.struct((state["at"] + F.length(part)).alias("at"), kept.alias("kept"))
+
+        return F.aggregate(marked, start, step, lambda s: s["kept"])
+
+    return F.flatten(F.transform(F.filter(candidates, lambda c: ~allowed(c["found"])), between))
+
+
 def entropy_windows(candidate: Column, least: Column) -> Column:
     """Array of (start, end) inside `candidate`: the union of all windows with at least `least` bits per character."""
     log2 = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
@@ -106,13 +128,13 @@ def entropy_windows(candidate: Column, least: Column) -> Column:
 
 
 def allowed(candidate: Column) -> Column:
-    """On the allow list: the patterns above, words or numbers only, and paths of short parts."""
+    """On the allow list as a whole: UUIDs, words or numbers only, and paths of short parts."""
     path = candidate.contains("/") & ~candidate.rlike("[^/]{13}")
-    return candidate.rlike(UUID) | candidate.rlike(IN_ORDER) | ~candidate.rlike("[0-9]") | ~candidate.rlike("[A-Za-z]") | path
+    return candidate.rlike(UUID) | ~candidate.rlike("[0-9]") | ~candidate.rlike("[A-Za-z]") | path
 
 
 def threshold(candidate: Column) -> Column:
-    """Least entropy of the candidate's character class."""
+    """Least entropy of the character class of a candidate's piece."""
     return (
         F.when(candidate.rlike("^[0-9a-fA-F]+$"), F.lit(LEAST["hex"]))
         .when(candidate.rlike("^[A-Za-z0-9]+$"), F.lit(LEAST["mixed"]))
@@ -130,7 +152,7 @@ def scan(docs: DataFrame) -> DataFrame:
         ).alias("assign"),
         find(text, ACCESS).alias("access"),
         find(text, HEX).alias("hex"),
-        F.filter(find(text, CANDIDATE), lambda s: ~allowed(s["found"])).alias("candidate"),
+        pieces(find(text, CANDIDATE)).alias("candidate"),
     )
     windows = F.flatten(
         F.transform(
