@@ -63,15 +63,25 @@ def test_round_trip_of_hostile_turns(spark):
     rows = [(i, j, role, text, "k") for i, role in enumerate(ROLES) for j, text in enumerate(TEXTS)]
     rows += [(99, None, "user", "t", "k"), (99, None, "user", "t", "k"), (None, 1, None, None, "k")]
     done = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string"))
-    out = done.withColumn("learned", chat.masked_text(F.col("formatted"), F.col("mask"))).collect()
+    out = done.withColumn("cut", chat.masked_text(F.col("formatted"), F.col("mask"))).collect()
     assert len(out) == len(ROLES) + 2 and all(r["round_trip"] for r in out)
     for r in out:
         own = sorted(((t[1] or 0, t[2] or "", t[3] or "") for t in rows if t[0] == r["conv_id"]))
         assert [tuple(t) for t in r["turns"]] == [(a, b) for _, a, b in own]
-        assert r["learned"] == "".join(b for _, a, b in own if a == "assistant")
+        assert r["cut"] == r["learned"] == "".join(b for _, a, b in own if a == "assistant")
         assert r["formatted"].count(chat.START) == r["formatted"].count(chat.END) == len(own)
 
 
+def test_long_conversation_and_empty_table(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    long = spark.range(16_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn é ', id) AS text")
+    done = chat.format_chats(long).first()
+    assert done["round_trip"] and len(done["turns"]) == 16_000 and len(done["mask"]) == 8_000
+    assert done["learned"] == "".join(f"turn é {i}" for i in range(1, 16_000, 2))
+    assert all(done["formatted"][s:e] == f"turn é {2 * i + 1}" for i, (s, e) in enumerate(done["mask"]))
+    assert chat.format_chats(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_texts_without_conflict_are_not_escaped(spark):
     rows = [(1, 0, "user", "a < b | c \\ d &lt; %"), (1, 1, "assistant", "fine")]
     done = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()

@@ -16,6 +16,7 @@ conversation becomes one training record, so its turns have to fit into one row.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -75,55 +76,65 @@ def rendered_turn(role: Column, text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, learn_from: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row per conversation: `conv_id`, `formatted`, `mask`, `turns`, `round_trip`.
+    """One row per conversation: `conv_id`, `formatted`, `mask`, `learned`, `turns`, `round_trip`.
 
     `mask` is an array of (start, end) in code points of `formatted`, end exclusive, in order, over the texts
-    of the roles in `learn_from`. `turns` are those read back from `formatted`; `round_trip` says
-    whether they equal the source.
+    of the roles in `learn_from`; `learned` is all text under it, cut out of `formatted` and without escapes. `turns` are those read back
+    from `formatted`; `round_trip` says whether they equal the source. Places come from a running sum over the turns, so the
+    work grows in proportion to a conversation's length.
     """
     role = F.coalesce(F.col("role"), F.lit(""))
     text = F.coalesce(F.col("text"), F.lit(""))
     ready = turns.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn(
         "piece", rendered_turn(F.col("role"), F.col("text"))
     )
-    item = F.struct("turn", "role", "text", "piece")
+    in_turn = W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ready = ready.withColumn("at", F.sum(F.length("piece")).over(in_turn) - F.length("piece"))
+    # No piece is empty, so places differ and give the order of the turns.
+    item = F.struct("at", "role", "text", "piece")
     ordered = ready.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     joined = ordered.select(
         "conv_id",
         F.array_join(F.col("items.piece"), "").alias("formatted"),
         F.transform("items", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"),
+        F.transform("items", lambda t: text_span(t, learn_from)).alias("marks"),
     )
     parsed = joined.withColumn("turns", parse(F.col("formatted")))
     return parsed.select(
         "conv_id",
         "formatted",
-        loss_mask(F.col("formatted"), learn_from).alias("mask"),
+        F.transform(
+            F.filter("marks", lambda m: m["learn"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))
+        ).alias("mask"),
+        text_of_marks(F.col("formatted"), F.col("marks")).alias("learned"),
         "turns",
         (F.col("turns") == F.col("source")).alias("round_trip"),
     )
 
 
-def loss_mask(formatted: Column, learn_from: tuple[str, ...]) -> Column:
-    """Spans of the texts to learn from, found by walking over the pieces of the formatted string."""
-    pieces = F.split(formatted, END_PATTERN, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+def text_span(item: Column, learn_from: tuple[str, ...]) -> Column:
+    """Where a turn begins, where its text begins and ends in the formatted string, and whether it is learned."""
+    # A role is rendered without line breaks, so the first one ends it.
+    start = item["at"] + F.instr(item["piece"], "\n")
+    end = item["at"] + F.length(item["piece"]) - len(END)
+    return F.struct(
+        item["at"].cast("int").alias("at"),
+        start.cast("int").alias("start"),
+        end.cast("int").alias("end"),
+        item["role"].isin(*learn_from).alias("learn"),
+    )
 
-    def step(state: Column, piece: Column) -> Column:
-        body = F.substr(piece, F.lit(len(START) + 1))
-        cut = F.instr(body, "\n")
-        role = unescape_role(F.substr(body, F.lit(1), cut - 1))
-        end = state["at"] + F.length(piece)
-        span = F.struct((state["at"] + len(START) + cut).alias("start"), end.alias("end"))
-        wanted = (cut > 0) & role.isin(*learn_from)
-        return F.struct(
-            (end + len(END)).alias("at"),
-            F.when(wanted, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"),
-        )
 
-    return F.aggregate(pieces, start, step, lambda s: s["spans"])
+def text_of_marks(formatted: Column, marks: Column) -> Column:
+    """All text under the learned marks, one mark per turn, cut from the piece of the formatted string that begins at the mark's place."""
+
+    def cut(piece: Column, mark: Column) -> Column:
+        return F.when(mark["learn"], unescape_text(F.substr(piece, mark["start"] - mark["at"] + 1, mark["end"] - mark["start"])))
+
+    return F.array_join(F.zip_with(F.split(formatted, END_PATTERN, -1), marks, cut), "")
 
 
 def masked_text(formatted: Column, mask: Column) -> Column:
-    """All text under the mask, without escapes, joined."""
+    """All text under any mask, without escapes, joined; every span is looked for from the start of the string, so it is for short ones."""
     pieces = F.transform(mask, lambda m: unescape_text(F.substr(formatted, m["start"] + 1, m["end"] - m["start"])))
     return F.array_join(pieces, "")

@@ -95,13 +95,12 @@ def chat_format(spark: SparkSession, d: str) -> DataFrame:
     done = chat.format_chats(turns.unionByName(hostile))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return (
-        done.withColumn("_learned", chat.masked_text(F.col("formatted"), F.col("mask")))
-        .select(
+        done.select(
             "conv_id",
             F.size("turns").cast("long").alias("n_turns"),
             F.sha2(said, 256).alias("turns_sha256"),
-            F.length("_learned").cast("long").alias("loss_chars"),
-            F.sha2("_learned", 256).alias("loss_sha256"),
+            F.length("learned").cast("long").alias("loss_chars"),
+            F.sha2("learned", 256).alias("loss_sha256"),
             F.length("formatted").cast("long").alias("formatted_chars"),
             "round_trip",
         )
