@@ -17,6 +17,7 @@ other columns of the input are ignored. A text is read whole, however long.
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,11 +47,13 @@ def plain(text: str | None) -> bytes:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 3 == 1
+    """Whether a document is kept out of training; a NULL id is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 def sample(labelled: DataFrame, docs_per_language: int, chars_per_doc: int) -> DataFrame:
-    """`lang`, `text`: at most `docs_per_language` documents of each language, chosen by hash, up to `chars_per_doc` of each.
+    """`lang`, `text`: at most `docs_per_language` documents of each language, chosen by hash, and of longer
+    texts `chars_per_doc` characters from a place that the hash of the id gives.
 
     Each language has that many slots; a slot keeps the document with the smallest hash, so a frequent
     language costs one aggregation with partial sums like any other.
@@ -59,15 +62,18 @@ def sample(labelled: DataFrame, docs_per_language: int, chars_per_doc: int) -> D
     keyed = labelled.withColumn("_h", rank).withColumn("_slot", F.pmod(F.xxhash64("doc_id"), F.lit(docs_per_language)))
     # Written first: its size is then known, and small, so no text moves to meet it.
     chosen = materialize(keyed.groupBy("lang", "_slot").agg(F.min("_h").alias("_h")))
-    # One text per slot, even if a document id occurs often; only its first part moves.
-    found = keyed.join(chosen, ["lang", "_slot", "_h"], "left_semi").withColumn("text", F.substring("text", 1, chars_per_doc))
+    # One text per slot, even if a document id occurs often; only a part of it moves.
+    places = F.greatest(F.length("text") - chars_per_doc, F.lit(0)) + 1
+    part = F.substr("text", (F.pmod(F.xxhash64("doc_id", F.lit("place")), places) + 1).cast("int"), F.lit(chars_per_doc))
+    found = keyed.join(chosen, ["lang", "_slot", "_h"], "left_semi").withColumn("text", part)
     return found.groupBy("lang", "_slot").agg(F.min("text").alias("text"))
 
 
-def dictionaries(rows: list[tuple[str, str]], dict_bytes: int) -> dict[str, bytes]:
+def dictionaries(rows: list[tuple[str, str]], dict_bytes: int, least_share: int) -> dict[str, bytes]:
     """Raw content per language: the same share of every sampled text, words that many texts use at the end.
 
-    zstandard finds what stands near the end of a dictionary most cheaply.
+    The share is `dict_bytes` over the number of texts, `least_share` at least, and begins at a word at a place that the text's checksum gives,
+    so common beginnings do not fill the dictionary. zstandard finds what stands near the end of a dictionary most cheaply.
     """
     texts: dict[str, list[bytes]] = {}
     for lang, text in rows:
@@ -76,16 +82,22 @@ def dictionaries(rows: list[tuple[str, str]], dict_bytes: int) -> dict[str, byte
             texts.setdefault(lang, []).append(body)
     out = {}
     for lang, bodies in texts.items():
-        share = max(64, dict_bytes // len(bodies))
+        share = max(least_share, dict_bytes // len(bodies))
         seen: dict[bytes, int] = {}
         for body in bodies:
             for word in set(body.split()):
                 seen[word] = seen.get(word, 0) + 1
         common = sorted((w for w, n in seen.items() if n > 1), key=lambda w: (seen[w], w))[-dict_bytes // 32 :]
-        out[lang] = (b" ".join(b[:share] for b in bodies)[:dict_bytes] + b" " + b" ".join(common))[-dict_bytes - dict_bytes // 4 :]
+        out[lang] = (b" ".join(running_part(b, share) for b in bodies)[:dict_bytes] + b" " + b" ".join(common))[-dict_bytes - dict_bytes // 4 :]
     return out
 
 
+def running_part(body: bytes, share: int) -> bytes:
+    """About `share` bytes of running text, from the first word that begins after a place given by the checksum of the text."""
+    at = zlib.crc32(body) % (max(len(body) - share, 0) + 1)
+    return body[body.find(b" ", at - 1) + 1 if at else 0 :][:share]
+
+
 class Compressor:
     """Sizes of texts under each language's dictionary, by a fast level and, where that leaves a narrow margin, a strong one."""
 
@@ -131,20 +143,22 @@ def predict(
     docs_per_language: int = 400,
     chars_per_doc: int = 4096,
     dict_bytes: int = 96 * 1024,
+    least_share: int = 64,
     levels: tuple[int, int] = (3, 12),
     narrow: float = 0.06,
     margin: float = 0.02,
 ) -> DataFrame:
     """`doc_id`, `lang_pred`, `score`, `rejected` for every row of `docs` (`doc_id`, `text`).
 
-    `labelled` has `doc_id`, `text` and `lang`; rows without a language are left out. `margin` is the least
+    `labelled` has `doc_id`, `text` and `lang`; rows without a language are left out. Of each language `docs_per_language` texts are a sample, of
+    each `chars_per_doc` characters give words and `max(least_share, dict_bytes / texts)` bytes go into the dictionary as running text. `margin` is the least
     saving against the second language, as a share of the compressed size, that is not rejected; `narrow` is the saving under
     which the stronger of the two zstandard `levels` decides.
     """
     train = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     picked = sample(train, docs_per_language, chars_per_doc)
     rows = [(r["lang"], r["text"]) for r in picked.orderBy("lang", "_slot").collect()]
-    contents = dictionaries(rows, dict_bytes)
+    contents = dictionaries(rows, dict_bytes, least_share)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Compressor(contents, levels, narrow)
