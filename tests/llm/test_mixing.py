@@ -54,6 +54,29 @@ def test_targets_rates_and_copies(spark):
         assert abs(sum(r["copies"] * r["size"] for r in own) - targets[s]) <= small
 
 
+def reachable(sizes, cap, target):
+    """Nearest sum of whole copies to the target, by all sums there are."""
+    sums = 1
+    for z in sizes:
+        for _ in range(cap):
+            sums |= sums << z
+    return min(abs(i - target) for i in range(sums.bit_length()) if sums >> i & 1)
+
+
+def test_small_sources_meet_their_targets(spark):
+    draw = random.Random(9)
+    rows = [(20 * s + i, f"s{s:02}", draw.randint(1, 900) if draw.random() < 0.8 else draw.randint(1, 30)) for s in range(12) for i in range(draw.randint(3, 14))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = {}
+    for r in mixing.mix(docs, "doc_id", "source", F.col("size")).collect():
+        assert 0 <= r["copies"] <= 3 and r["converged"]
+        got.setdefault(r["source"], [r["target"], 0, []])
+        got[r["source"]][1] += r["copies"] * r["size"]
+        got[r["source"]][2].append(r["size"])
+    for source, (target, taken, sizes) in got.items():
+        assert abs(taken - target) <= reachable(sizes, 3, target) + 3, source
+
+
 def test_rates_are_tilted_exponentially(spark):
     """The odds of a rate against its headroom are 1/2 times exp(multiplier * size), before rounding shifts them."""
     _, docs = corpus(spark, {"a": (300, 100), "b": (300, 100)}, 3)

@@ -8,7 +8,10 @@ are found together by safeguarded Newton steps over a histogram of sizes, so an
 as there are distinct (source, size) pairs.
 
 Rates become copies by systematic rounding in the order of size, the largest documents first; what whole
-copies of them miss is made up by smaller ones.
+copies of them miss is made up by smaller ones. What is left at the end, in words, is settled by a few copies more or fewer of chosen sizes:
+`PER_OCTAVE` sizes of each octave of sizes, smallest first, so at most some hundred for a source however large it is. Of the changes tried, largest
+size first, the `BEAM` that leave the least are followed up. A source with a handful of documents meets its target to
+the word where whole copies allow it and the search finds them.
 
 Defined results: a NULL text has size 0; documents of size 0 get rate 1 and take nothing; a NULL source is a source of its own;
 repeated rows are separate documents; an empty table gives an empty result. Columns of the input are not carried along
@@ -30,6 +33,8 @@ from weekband.llm.common import materialize
 NO_SOURCE = "-"
 #: Slices of a hot (source, size) group; each is ranked on its own.
 SLICES = 256
+#: Sizes of a source in each octave that may settle what rounding left, and changes that are followed up at once.
+PER_OCTAVE, BEAM = 4, 128
 
 
 def exact_sum(value: Column) -> Column:
@@ -136,7 +141,9 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: float, tolerance: float,
             )
         )
     multiplier = F.col("m") / F.col("scale")
-    return state.select("key", F.col("size").alias("source_size"), "target", multiplier.alias("multiplier"), "closed")
+    return state.select(
+        "key", F.col("size").alias("source_size"), "target", multiplier.alias("multiplier"), "closed", F.col("done").alias("converged")
+    )
 
 
 def rounded_by_level(rated: DataFrame, cap: float, levels: int = 4, factor: int = 8) -> DataFrame:
@@ -151,7 +158,7 @@ def rounded_by_level(rated: DataFrame, cap: float, levels: int = 4, factor: int
     level = F.floor(F.log(F.max("size").over(largest) / F.greatest("size", F.lit(1))) / math.log(factor))
     rows = materialize(
         rated.withColumn("level", F.least(level, F.lit(levels - 1))).select(
-            "key", "size", "n", "source_size", "target", "rate", "level"
+            "key", "size", "n", "rate", "level"
         )
     )
     by_size = W.partitionBy("key").orderBy("size").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -173,7 +180,68 @@ def rounded_by_level(rated: DataFrame, cap: float, levels: int = 4, factor: int
         done = here if done is None else done.unionByName(here)
         copies = F.floor(F.col("owed") + all_copies + 0.5) - F.floor(F.col("owed") + 0.5)
         carry = done.groupBy("key").agg(exact_sum((F.col("rate") * F.col("n") - copies) * F.col("size")).alias("_carry"))
-    return done.select("key", "size", "source_size", "target", F.col("used").alias("rate"), "owed")
+    named = done.withColumn("copies", F.floor(F.col("owed") + all_copies + 0.5) - F.floor(F.col("owed") + 0.5))
+    return settled(named.drop("rate").withColumnRenamed("used", "rate"), carry, cap).select("key", "size", "rate", "owed")
+
+
+def settled(rounded: DataFrame, carry: DataFrame, cap: float) -> DataFrame:
+    """`rounded` with the rates of some sizes changed so that the words in `carry` are spent; a changed size owes nothing.
+
+    `copies` are those of all `n` documents of a size. A change keeps them between 0 and `cap * n`.
+    """
+    octave = W.partitionBy("key", F.floor(F.log2("size"))).orderBy("size")
+    chosen = rounded.where("size > 0").withColumn("_place", F.row_number().over(octave)).where(F.col("_place") <= PER_OCTAVE)
+    change = F.struct("size", F.col("copies").cast("long").alias("down"), (F.col("n") * int(cap) - F.col("copies")).cast("long").alias("up"))
+    items = chosen.groupBy("key").agg(F.sort_array(F.collect_list(change), asc=False).alias("items"))
+    left = F.round("_carry").cast("long")
+    moves = (
+        items.join(carry, "key")
+        .select("key", F.arrays_zip(F.col("items.size").alias("size"), best_moves("items", left).alias("extra")).alias("moves"))
+        .select("key", F.inline("moves"))
+        .where("extra != 0")
+    )
+    whole = (F.col("copies") + F.col("extra")).cast("double") / F.col("n")
+    return (
+        rounded.join(moves, ["key", "size"], "left")
+        .withColumn("rate", F.when(F.col("extra").isNull(), F.col("rate")).otherwise(whole))
+        .withColumn("owed", F.when(F.col("extra").isNull(), F.col("owed")).otherwise(F.lit(0.0)))
+    )
+
+
+def best_moves(items: str, left: Column) -> Column:
+    """Change of copies per item that leaves the fewest of `left` words, of these the one with the fewest copies changed.
+
+    A state is what is left, and the changes so far. For every item each state goes on with no change, one copy more or fewer, and
+    as many as fit into what is left; of states that leave equally much one stays, and of all the `BEAM` with the least left.
+    """
+    state = "array<struct<off:bigint,cost:bigint,left:bigint,moves:array<bigint>>>"
+    start = F.array(F.struct(F.abs(left), F.lit(0), left, F.array().cast("array<bigint>"))).cast(state)
+
+    def moved(s: Column, item: Column, by: Column) -> Column:
+        rest = s["left"] - by * item["size"]
+        return F.struct(
+            F.abs(rest).alias("off"),
+            (s["cost"] + F.abs(by)).alias("cost"),
+            rest.alias("left"),
+            F.concat(s["moves"], F.array(by)).alias("moves"),
+        )
+
+    def step(states: Column, item: Column) -> Column:
+        def follow(s: Column) -> Column:
+            fits = (s["left"] / item["size"]).cast("long")
+            tried = F.array(F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(-1).cast("long"), fits, fits + F.signum(s["left"]).cast("long"))
+            bounded = F.transform(tried, lambda by: F.least(F.greatest(by, -item["down"]), item["up"]))
+            return F.transform(F.array_distinct(bounded), lambda by: moved(s, item, by))
+
+        every = F.array_sort(F.flatten(F.transform(states, follow)))
+        # Bound to a name by a transform over one element, so that it is sorted once and not for every state.
+        return F.element_at(F.transform(F.array(every), different), 1)
+
+    def different(states: Column) -> Column:
+        first = lambda s, i: (i == 0) | (F.get(states, i - 1)["left"] != s["left"])
+        return F.slice(F.filter(states, first), 1, BEAM)
+
+    return F.aggregate(items, start, step, lambda states: F.element_at(states, 1)["moves"])
 
 
 def mix(
@@ -187,7 +255,10 @@ def mix(
     tolerance: float = 1e-9,
     max_steps: int = 80,
 ) -> DataFrame:
-    """One row per document: `doc_id`, `source`, `size`, `source_size`, `target`, `rate`, `copies` and `carry`.
+    """One row per document: `doc_id`, `source`, `size`, `source_size`, `target`, `rate`, `copies`, `converged` and `carry`.
+
+    `converged` says whether the rates of the document's source met its target within `max_steps` Newton steps; where
+    they did not, rounding starts from the nearest rates found.
 
     No document gets more than `cap` copies; equal inputs give equal copies on every run. `cap` must be a whole number above 1.
     """
@@ -211,7 +282,8 @@ def mix(
         .when(F.col("closed"), F.lit(float(cap)))
         .otherwise(tilted_rate(F.col("multiplier"), F.col("size"), cap))
     )
-    owed = materialize(rounded_by_level(sizes.join(solved, "key").withColumn("rate", tilt), cap))
+    rounded = materialize(rounded_by_level(sizes.join(solved, "key").withColumn("rate", tilt), cap))
+    owed = rounded.join(solved.select("key", "source_size", "target", "converged"), "key")
     # Documents of equal size in earlier slices: at most SLICES rows per group.
     in_group = W.partitionBy("key", "size").orderBy("slice")
     before = slices.withColumn("before", F.sum("n").over(in_group) - F.col("n")).drop("n")
@@ -231,6 +303,7 @@ def mix(
             "target",
             "rate",
             F.least(F.greatest(copies, F.lit(0)), F.lit(int(cap))).cast("long").alias("copies"),
+            "converged",
             *(F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)),
         )
     )
