@@ -1,7 +1,8 @@
 """The corpus pipeline: stages that run one after the other, each on all that the one before it kept.
 
 Defined results: NULL, empty and blank texts have no words, so the quality rules reject them; very long texts are judged
-whole. Repeated rows are near duplicates of each other, and one stays, that with the smallest id; a NULL id is the smallest.
+whole. Repeated rows are near duplicates of each other, and one stays, that with the smallest id; a NULL id gives
+way to any other.
 Columns of `documents` that no stage reads are carried along to the mixture, whatever their names. An empty
 table passes through all stages and gives an empty result.
 """
