@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_rows import ODD, docs_of
 from pyspark.sql import functions as F
@@ -405,6 +406,50 @@ def test_token_files_round_trip(spark, tmp_path):
     assert stored.count() == len(docs)
 
 
+class Counted:
+    """A tokenizer that counts the signs it is given."""
+
+    def __init__(self, tool, seen):
+        self.tool, self.seen = tool, seen
+
+    def encode_batch_fast(self, texts, **options):
+        self.seen.extend(len(t) for t in texts)
+        return self.tool.encode_batch_fast(texts, **options)
+
+
+def test_a_word_is_encoded_once_whatever_signs_follow():
+    words = sorted(set(WORDS))
+    texts = [" ".join(w + s for w in words) for s in ["", ",", ".", "!?", "&&&", "...", ";", ":"]]
+    encoder, seen = token_files.WordEncoder(tokenizer()), []
+    for name in ("tool", "pieces"):
+        setattr(encoder, name, Counted(getattr(encoder, name), seen))
+    got = encoder.encode(pa.array(texts), b"")
+    assert sum(seen) < 1.1 * sum(len(w) + 2 for w in words)
+    plain = encoder.tool.tool.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [p.ids for p in plain]
+
+
+def test_words_of_any_signs_are_encoded_as_by_the_library(tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    draw = random.Random(7)
+    bits = [*"   \n\n\t\u00a0\u0301aÉñ×÷ßЖΣ日١²ªĠĊ'_<|>\x00", "The", "don't", "'ll", "  ", " \n", "...", "!?", "12", "<|endoftext|>", "tion", "🙂"]
+    texts = ["".join(draw.choices(bits, k=draw.randint(0, 25))) for _ in range(4000)] + ["", None, " ", "\n", "x" * 3000]
+    texts += [" ".join(draw.choice(WORDS) + draw.choice(bits).strip() for _ in range(20)) for _ in range(1000)]
+    added = Tokenizer.from_file(tokenizer())
+    added.add_tokens(["tion!"])  # a piece ends inside letters and signs
+    added.save(str(tmp_path / "added.json"))
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 20_000)
+    for path, quick in [(tokenizer(), True), (str(tmp_path / "added.json"), False)]:
+        encoder, got = token_files.WordEncoder(path), []
+        assert (encoder.pieces is not None) == quick
+        for part in token_files.slices(pa.record_batch([pa.array(texts)], ["text"]), 0, 10_000):
+            got += encoder.encode(part.column(0), b"\0\0")
+        plain = Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == [p.ids + [0] for p in plain]
+    assert encoder.encode(pa.array([], pa.string()), b"") == []
+
+
 def test_token_files_of_odd_rows(spark):
     assert token_files.write_and_read(docs_of(spark, ODD), tokenizer()).count() == len(ODD)
     assert token_files.write_and_read(docs_of(spark, ODD).limit(0), tokenizer()).count() == 0

@@ -21,6 +21,7 @@ tokens; an empty table gives empty files; other columns are ignored. Texts are e
 
 from __future__ import annotations
 
+import codecs
 import functools
 import itertools
 import re
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -44,22 +46,36 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_BITS = 18
 STRIDE = 256
 BLOCK_TOKENS = 1 << 17
-#: Bytes of words that a task remembers with their ids, about, before it forgets those not met lately.
+#: Bytes of words and their ids that a task remembers, before it forgets those not met lately.
 CACHE_BYTES = 24 << 20
-#: What a remembered word takes besides its letters and ids: two objects and its place in a dictionary.
-WORD_BYTES = 190
+#: Bytes of text that are split and looked up together.
+SLICE_BYTES = 2 << 20
 #: White space other than a space and a line feed, in any alphabet.
 OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-OUTER = (" ", "\n")
+#: Texts that are empty or hold white space other than single spaces and line feeds between other signs.
+ODD_SPACE = r"\A\z|\A[ \n]|[ \n]\z|[ \n][ \n]|" + OTHER_SPACE.pattern
 #: A single space between two other signs always begins a new piece of the tokenizer.
 SAFE_SPACE = re.compile(r"(?<!\s) (?!\s)")
+#: Latin, Greek and Cyrillic letters, and ASCII signs but the apostrophe, which may begin a piece of its own with letters.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481]"
+SIGNS = r"[!-&(-/:-@\[-`{-~]"
+ONE_PIECE = rf"\A\n?{LETTERS}+\z"
+TWO_PIECES = rf"\A(?P<core>\n?{LETTERS}+)(?P<tail>{SIGNS}*)\z"
+
+
+def byte_signs() -> str:
+    """The sign that stands for each byte in the vocabulary of a byte-level tokenizer."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = itertools.count(256)
+    return "".join(chr(b if b in shown else next(hidden)) for b in range(256))
 
 
 class WordEncoder:
-    """Ids of texts, with a bounded memory of pieces already encoded.
+    """Ids of texts, with a bounded memory of words already encoded.
 
     A byte-level tokenizer of this family never merges across a single space between two other signs, so the ids of a
-    text are those of its pieces, each with its leading space. Pieces not used since the memory was last full are forgotten.
+    text are those of its words, each with its leading space or line feed. Nor does it merge letters with the signs after
+    them. Arrow splits a slice of texts and finds its distinct words, and the library encodes those not in memory.
     """
 
     def __init__(self, path: str):
@@ -72,39 +88,122 @@ class WordEncoder:
         # A line feed before a space is a piece of its own and one id, which no piece without white space contains.
         (self.line_feed,) = self.tool.encode("\n", add_special_tokens=False).ids
         self.feed = array("H", [self.line_feed]).tobytes()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+        self.signs = byte_signs()
+        self.pieces = self.piece_tool()
+        if self.pieces is not None:
+            # Every sign of a token stands for one byte.
+            self.id_bytes = np.array([len(self.tool.id_to_token(i) or "") for i in range(1 << 16)])
+
+    def piece_tool(self):
+        """The same model for lines that each are one piece of letters, without the search for pieces. None where pieces
+        of the tokenizer may end elsewhere."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Split
+
+        tool, before = self.tool, self.tool.pre_tokenizer
+        usual = isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space and tool.normalizer is None
+        inside = re.compile(f"{LETTERS}*{SIGNS}*")
+        if not usual or any(inside.fullmatch(t.content) for t in tool.get_added_tokens_decoder().values()):
+            return None
+        pieces = Tokenizer(tool.model)
+        pieces.pre_tokenizer = Split(self.signs[10], "removed")
+        return pieces
+
+    def encode(self, texts: pa.Array, end: bytes) -> list[bytes]:
         """Little-endian 16-bit ids of every text with `end` after it."""
-        if len(self.known) * WORD_BYTES > CACHE_BYTES:
-            self.known, self.older = {}, self.known
-        split = [self.pieces(t or "") for t in texts]
-        heads = self.tool.encode_batch_fast([p[0] for p in split], add_special_tokens=False)
-        known, older = self.known, self.older
-        fresh = set(itertools.chain.from_iterable(split)).difference(known)
-        known.update({w: older[w] for w in fresh.intersection(older)})
-        self.learn(fresh.difference(older))
-        get = known.__getitem__
-        return [
-            array("H", head.ids).tobytes() + b"".join(map(get, itertools.islice(words, 1, None))) + end
-            for head, words in zip(heads, split)
-        ]
-
-    def learn(self, words: set[str]) -> None:
-        """Add words to the memory, a thousand at a time with line feeds between them; those with other white space one by one."""
+        # Offsets of 64 bits, since a text may be longer than 32 bits allow once it is split.
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        # A line feed before the whole text makes its first word one that begins a line.
+        lines = pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n")
+        feed, nothing = (pa.scalar(t, pa.large_string()) for t in ("\n", ""))
+        split = pc.split_pattern(pc.binary_join_element_wise(feed, lines, nothing), " ")
+        loose = [SAFE_SPACE.split(t) for t in texts.filter(odd).to_pylist()]
+        heads = self.tool.encode_batch_fast([p[0] for p in loose], add_special_tokens=False)
+        rest = pa.array(itertools.chain.from_iterable(p[1:] for p in loose), pa.large_string())
+
+        words = pa.concat_arrays([split.flatten(), rest]).dictionary_encode()
+        found = self.of_words(words.dictionary.cast(pa.string())).cast(pa.large_binary()).take(words.indices)
+        bounds = np.frombuffer(found.buffers()[1], np.int64)[found.offset :] if len(found) else np.zeros(1, np.int64)
+        raw = memoryview(found.buffers()[2] or b"")
+        cuts = bounds[split.offsets.to_numpy()].tolist()
+        plain = (bytes(raw[a + 2 : b]) + end for a, b in itertools.pairwise(cuts))
+        sizes = [len(split.flatten()), *(len(p) - 1 for p in loose)]
+        cuts = bounds[np.cumsum(sizes)].tolist()
+        other = (array("H", h.ids).tobytes() + bytes(raw[a:b]) + end for h, (a, b) in zip(heads, itertools.pairwise(cuts)))
+        return [next(other if o else plain) for o in odd.to_pylist()]
+
+    def of_words(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words without the space before them; those that begin a line have a line feed before them."""
+        if self.pieces is None:
+            return self.remembered(words)
+        parts = pc.extract_regex(words, TWO_PIECES)
+        cores = pc.coalesce(pc.struct_field(parts, "core"), words).dictionary_encode()
+        tails = pc.fill_null(pc.struct_field(parts, "tail"), "").dictionary_encode()
+        ends = self.tool.encode_batch_fast(tails.dictionary.to_pylist(), add_special_tokens=False)
+        ends = pa.array([array("H", e.ids).tobytes() for e in ends], pa.binary())
+        cores_ids = self.remembered(cores.dictionary).take(cores.indices)
+        return pc.binary_join_element_wise(cores_ids, ends.take(tails.indices), b"")
+
+    def remembered(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words; new ones are learned. A full memory keeps the words of this call."""
+        places = np.full(len(words), -1)
+        # The table of these words is the smaller one to build.
+        met = pc.index_in(self.words, value_set=words)
+        places[met.drop_null().to_numpy()] = np.flatnonzero(met.is_valid().to_numpy(zero_copy_only=False))
+        new = words.filter(pa.array(places < 0))
+        known, ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, self.learned(new)])
+        places[places < 0] = np.arange(len(self.words), len(known))
+        found = ids.take(pa.array(places))
+        full = known.nbytes + ids.nbytes > CACHE_BYTES
+        self.words, self.ids = (words, found) if full else (known, ids)
+        return found
+
+    def learned(self, words: pa.Array) -> pa.Array:
+        """Ids of words by the library."""
+        if self.pieces is None:
+            return self.by_lines(words.to_pylist())
+        one = pc.match_substring_regex(words, ONE_PIECE)
+        both = pa.concat_arrays([self.by_pieces(words.filter(one)), self.by_lines(words.filter(pc.invert(one)).to_pylist())])
+        first = one.to_numpy(zero_copy_only=False)
+        places = np.where(first, np.cumsum(first), first.sum() + np.cumsum(~first)) - 1
+        return both.take(pa.array(places))
+
+    def by_pieces(self, words: pa.Array) -> pa.Array:
+        """Words of letters, many to a call; where each ends is told by the bytes that its ids stand for."""
+        starts = pc.starts_with(words, "\n")
+        texts = pc.if_else(starts, pc.replace_substring(words, "\n", ""), pc.binary_join_element_wise(" ", words, ""))
+        ids = array("H")
+        listed = texts.to_pylist()
+        for at in range(0, len(listed), 4096):
+            lines = ["\n".join(listed[k : k + 64]) for k in range(at, min(at + 4096, len(listed)), 64)]
+            lines = [codecs.charmap_decode(t.encode(), "strict", self.signs)[0] for t in lines]
+            for one in self.pieces.encode_batch_fast(lines, add_special_tokens=False):
+                ids.extend(one.ids)
+        met = np.cumsum(self.id_bytes[np.frombuffer(ids, np.uint16)]) if ids else np.zeros(0, np.int64)
+        due = np.cumsum(pc.binary_length(texts).to_numpy())
+        cuts = np.searchsorted(met, due)
+        if not np.array_equal(met[cuts], due) or len(met) != (cuts[-1] + 1 if len(cuts) else 0):
+            raise ValueError("the ids of the words do not stand for their bytes")
+        bounds = (2 * np.concatenate([[0], cuts + 1])).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(bounds), pa.py_buffer(ids.tobytes())])
+        return pc.binary_join_element_wise(pc.if_else(starts, self.feed, b""), found, b"")
+
+    def by_lines(self, words: list[str]) -> pa.Array:
+        """Any words, a thousand at a time with line feeds between them; those with other white space one by one."""
         strange = OTHER_SPACE.search("".join(words)) is not None
-        rest = {w for w in words if not w or "\n" in w[1:] or strange and OTHER_SPACE.search(w)}
-        words = words - rest
-        starts = [w for w in words if w[0] == "\n"]
-        self.learn_joined(starts, "", [w[1:] for w in starts], self.feed)
-        inner = [w for w in words if w[0] != "\n"]
-        self.learn_joined(inner, " ", inner, b"")
-        odd = list(rest)
+        odd = [w for w in words if not w or "\n" in w[1:] or strange and OTHER_SPACE.search(w)]
+        known = dict.fromkeys(odd, b"")
+        starts = [w for w in words if w not in known and w[0] == "\n"]
+        inner = [w for w in words if w not in known and w[0] != "\n"]
+        self.learn_joined(known, starts, "", [w[1:] for w in starts], self.feed)
+        self.learn_joined(known, inner, " ", inner, b"")
         for word, one in zip(odd, self.tool.encode_batch_fast([" " + w for w in odd], add_special_tokens=False)):
-            self.known[word] = array("H", one.ids).tobytes()
+            known[word] = array("H", one.ids).tobytes()
+        return pa.array([known[w] for w in words], pa.binary())
 
-    def learn_joined(self, words: list[str], before: str, texts: list[str], prefix: bytes) -> None:
+    def learn_joined(self, known: dict[str, bytes], words: list[str], before: str, texts: list[str], prefix: bytes) -> None:
         glue = "\n" + before
         for at in range(0, len(words), 1000):
             joined = before + glue.join(texts[at : at + 1000]) + "\n"
@@ -112,16 +211,17 @@ class WordEncoder:
             ends = np.flatnonzero(ids == self.line_feed)
             raw, cuts = ids.tobytes(), (2 * ends).tolist()
             starts = [0, *(c + 2 for c in cuts[:-1])]
-            self.known.update(zip(words[at : at + 1000], [prefix + raw[a:b] for a, b in zip(starts, cuts)], strict=True))
+            known.update(zip(words[at : at + 1000], [prefix + raw[a:b] for a, b in zip(starts, cuts)], strict=True))
+
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Where a piece begins at every single space and line feed: what stands between, line feeds with the word after
-        them. Elsewhere only spaces between other signs divide. All but the first piece follow a space or begin a line."""
-        odd = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in OUTER or text[-1:] in OUTER
-        if odd or OTHER_SPACE.search(text):
-            return SAFE_SPACE.split(text)
-        return text.replace("\n", " \n").split(" ")
+def slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about `size` bytes; a longer text is one of its own or ends its run."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    start = done = 0
+    while start < batch.num_rows:
+        stop = max(int(np.searchsorted(ends, done + size, side="right")), start + 1)
+        yield batch.slice(start, stop - start)
+        start, done = stop, int(ends[stop - 1])
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -134,9 +234,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         tool, pack = WordEncoder(tokenizer), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], "<u2").tobytes()
         for batch in it:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                raw = tool.encode(part.column(1).to_pylist(), end)
+            for part in slices(batch, 1):
+                raw = tool.encode(part.column(1), end)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -145,6 +244,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     ],
                     ["doc_id", "ids", "n_tokens"],
                 )
+            # Else a worker keeps the space of its slices for as long as it lives.
+            pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, ids binary, n_tokens long")
 
